@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, topk
+from . import linededup, mixing, neardup, packing, sharding, topk
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_setsketch_neardup": neardup.op2_setsketch_neardup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_maxscore_top20": topk.op6_maxscore_top20,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": linededup.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_maxscore_top20": topk.OP6_SQL,
 }
