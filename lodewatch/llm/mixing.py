@@ -43,10 +43,10 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFr
         "capped": F.coalesce(F.sum("most").over(before), F.lit(0.0)),
         "heavy": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     })
-    # the level that holds if this source and all after it are not capped; it is right at the first source it doesn't cap
+    # the level that holds if this source and all after it are not capped; it rises up to the first source that it
+    # doesn't cap, where it is right, and falls from there on
     per = per.withColumn("level", (F.col("total") - F.col("capped")) / F.col("heavy"))
-    right = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    per = per.withColumn("target", F.when(F.col("level") > F.col("ratio"), F.col("most")).otherwise(F.least("most", F.col("weight") * right)))
+    per = per.withColumn("target", F.least("most", F.col("weight") * F.max("level").over(everything)))
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), "target")
 
 
@@ -122,8 +122,7 @@ WITH d AS (
   FROM w
 ), m AS (SELECT *, (total - capped) / heavy AS level FROM l
 ), t AS (
-  SELECT source, source_size, CASE WHEN level > ratio THEN most
-    ELSE least(most, weight * (min(CASE WHEN level <= ratio THEN level END) OVER ())) END AS target FROM m
+  SELECT source, source_size, least(most, weight * (max(level) OVER ())) AS target FROM m
 ), b AS (
   SELECT d.*, length(bin(size)) * 100 + size // (1 << greatest(length(bin(size)) - 4, 0)) AS class,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(64, (SELECT count(*) FROM d) // 100000) AS salt FROM d
