@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, neardup, packing, sharding, topk
+from . import linededup, mixing, neardup, packing, quality, sharding, topk
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_maxscore_top20": topk.op6_maxscore_top20,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
+    "op8_line_quality": quality.op8_line_quality,
     "op9_pack_sequences": packing.op9_pack_sequences,
 }
 
@@ -17,4 +18,5 @@ ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_maxscore_top20": topk.OP6_SQL,
+    "op8_line_quality": quality.OP8_SQL,
 }
