@@ -72,3 +72,7 @@ def ascii_lower(text: Column) -> Column:
 def identity(*columns: Column) -> Column:
     """64 bits that tell rows of one id apart by their content."""
     return F.xxhash64(*columns)
+
+
+#: The columns of the table of documents.
+DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed in one go; longer texts are cut at separators.
 CHUNK_BYTES = 1 << 22
@@ -102,7 +103,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[
     """Slices of the batches whose texts take about ``CHUNK_BYTES`` together, one row at least."""
     for batch in batches:
         column = batch.column(text)
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right")))
