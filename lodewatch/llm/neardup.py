@@ -11,8 +11,9 @@ filling the gap between MinHash and HyperLogLog", 2021). Equal registers mark li
 3. A pair stays if the likelihood of its register comparison, joint with the known set sizes, does not speak against the
    wanted similarity by ``SIGMAS`` standard deviations.
 4. What stays is confirmed on the full sets, and components are taken.
-5. Buckets whose classes still lie in several components are compared in full, in blocks of bounded size; pairs in
-   different components that pass step 3 are confirmed as in step 4 and the components taken again.
+5. Buckets whose classes still lie in several components are compared in full, in blocks of bounded size: classes with a
+   partner in another component that passes step 3 are confirmed as in step 4, all pairs of two blocks at once, and the
+   components taken again.
 
 Defined cases: a document without words is linked with nothing and is its own component; null text is no text; rows that
 share an id and a set share a class; a null id is a document, and never the smallest id where its component holds
@@ -21,10 +22,10 @@ another; an empty table gives no rows; extra columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,12 +148,11 @@ def fitting(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 # --- confirmation
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with 100 * |intersection| >= percent * |union| on full sets."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = wanted.join(classes.select("cid", "first_id"), "cid").select("first_id").distinct()
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cid, shingles) of the classes ``wanted`` (cid), from the texts of one document each."""
+    ids = wanted.distinct().join(classes.select("cid", "first_id"), "cid").select("first_id").distinct()
     texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]), "left_semi")
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -162,9 +162,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays(columns, ["f1", "f2", "shingles"])
 
     full = texts.mapInArrow(sets, "f1 long, f2 long, shingles binary")
-    full = staged(full.join(classes.select("cid", "f1", "f2"), ["f1", "f2"]).select("cid", "shingles"), "sets")
+    # ids that are given twice may bring other sets, or one set twice
+    return staged(full.join(classes.select("cid", "f1", "f2"), ["f1", "f2"]).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` with 100 * |intersection| >= percent * |union| on full sets."""
     for side in "ab":
-        pairs = pairs.join(full.select(F.col("cid").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"set_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,75 +180,148 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 on.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 # --- candidates
 
 
 def bands(classes: DataFrame, m: int = REGISTERS, band: int = BAND) -> DataFrame:
-    """(cid, bucket) of each class and band."""
-    # 1-based places of the bytes of each band
-    starts = F.sequence(F.lit(0), F.lit(m // band - 1))
-    rows = classes.select("cid", "regs", F.explode(starts).alias("nr"))
-    return rows.select("cid", F.xxhash64("nr", F.substring("regs", F.col("nr") * (2 * band) + 1, F.lit(2 * band))).alias("bucket"))
-
-
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket and lie in different components, if their sketches fit.
-
-    A bucket of more than two blocks is dealt to one task for each pair of blocks; nothing is left out.
+    """(cid, nr, bucket) of each class and band."""
+    rows = classes.select("cid", "regs", F.explode(F.sequence(F.lit(0), F.lit(m // band - 1))).alias("nr"))
+    # registers take two bytes each, and places count from 1
+    return rows.select("cid", "nr", F.xxhash64("nr", F.substring("regs", F.col("nr") * (2 * band) + 1, F.lit(2 * band))).alias("bucket"))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``key`` columns; a run may go on over batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if not held or (batch is not None and not batch.num_rows):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([table.column(c).to_numpy() for c in range(key)], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        if batch is not None:
+            held = table.slice(cuts[-2]).to_batches()
+            cuts.pop()
+        for start, end in itertools.pairwise(cuts):
+            yield table.slice(start, end - start)
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, i, j, nr, own, cid, label): the classes of buckets that hold several components, dealt to pairs of blocks.
+
+    Only pairs across components matter, so the largest component of a bucket is not paired with itself: the others are
+    paired with it and with each other. Each pair of blocks of at most about ``BLOCK`` classes is a group.
     """
     rows = members.filter("size > 2").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    rows = staged(rows.select("cid", "bucket", "size", F.coalesce("label", "cid").alias("label")), "labelled")
-    # two members that are both compared with the head already need no more: at least two others must differ
-    open_buckets = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    rows = rows.join(open_buckets, "bucket").join(classes.select("cid", "n", "regs"), "cid")
-    blocks = F.when(F.col("size") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "n", "regs")
-    key = ["bucket", "i", "j"]
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, *key).sortWithinPartitions(*key)
-
-    def compare(i: int, j: int, own: np.ndarray, cid: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = staged(rows.select("cid", "nr", "bucket", "size", F.coalesce("label", "cid").alias("label")), "labelled")
+    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.count("*").alias("n_labels"))
+    rows = rows.join(largest.filter("n_labels > 1").drop("n_labels"), "bucket")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    small = F.col("size") <= 2 * BLOCK
+    rows = rows.withColumns({"minor": F.col("label") != F.col("major"), "ones": F.when(small, 1).otherwise(blocks(F.col("size") - F.col("n_major"))), "twos": F.when(small, 0).otherwise(blocks(F.col("n_major")))})
+    place = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("minor") | small, place(F.col("ones"))).otherwise(F.col("ones") + place(F.greatest("twos", F.lit(1)))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("ones") + F.col("twos")).otherwise(F.col("ones")) - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nr", "own", "cid", "label")
+
+
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of classes sharing a bucket; nothing is left out.
+
+    First the sketches tell which classes of a group have a likely partner in another component; a pair is looked at in
+    the first band that it shares. The full sets of these classes are then compared group by group, all pairs by one
+    matrix product, and a group gives no more links than it takes to join its classes.
+    """
+    spark, key, least = members.sparkSession, ["bucket", "i", "j"], percent / 100
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.repartition(n, *key).sortWithinPartitions(*key)
+    rows = open_members(members, labels).join(classes.select("cid", "n", "regs"), "cid")
+
+    def apart(i: int, j: int, own: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-        on = (label[a] != label[b]) & ((i != j) | (cid[a] < cid[b]))
-        a, b = a[on], b[on]
-        more, less = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        for at in range(0, len(a), 1 << 14):
-            x, y = regs[a[at : at + (1 << 14)]], regs[b[at : at + (1 << 14)]]
-            more[at : at + len(x)], less[at : at + len(x)] = (x > y).sum(axis=1), (x < y).sum(axis=1)
-        on = likely(more, less, regs.shape[1], n[a].astype(float), n[b].astype(float), least)
-        return np.minimum(cid[a[on]], cid[b[on]]), np.maximum(cid[a[on]], cid[b[on]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            k = np.stack([table.column(c).to_numpy() for c in range(3)], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
-            held.clear()
-            if not last:  # the last group may go on
-                held.extend(table.slice(cuts[-2]).to_batches())
-            ends = cuts if last else cuts[:-1]
-            own, cid, label, n = (table.column(c).to_numpy() for c in range(3, 7))
-            for s, e in zip(ends[:-1], ends[1:], strict=True):
-                if e - s > 1 and (label[s:e] != label[s]).any():
-                    a, b = compare(int(k[s, 1]), int(k[s, 2]), own[s:e], cid[s:e], label[s:e], n[s:e], registers_of(table.column(7).slice(s, e - s)))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from groups(last=False)
-        if held:
-            yield from groups(last=True)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        on = (label[a] != label[b]) & ((i != j) | (a < b))
+        return a[on], b[on]
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            (_, i, j, nr), (own, cid, label, size) = [group.column(c)[0].as_py() for c in range(4)], [group.column(c).to_numpy() for c in range(4, 8)]
+            a, b = apart(i, j, own, label)
+            if not len(a):
+                continue
+            regs = registers_of(group.column(8).combine_chunks())
+            hit = np.zeros(len(cid), bool)
+            for at in range(0, len(a), 1 << 14):
+                x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                if nr:
+                    same = (regs[x, : nr * BAND] == regs[y, : nr * BAND]).reshape(len(x), nr, BAND)
+                    first = ~same.all(axis=2).any(axis=1)
+                    x, y = x[first], y[first]
+                on = likely((regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1), regs.shape[1], size[x].astype(float), size[y].astype(float), least)
+                hit[x[on]] = hit[y[on]] = True
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in group.select([0, 1, 2, 4, 5, 6]).filter(pa.array(hit)).columns], [*key, "own", "cid", "label"])
+
+    found = staged(dealt(rows.select(*key, "nr", "own", "cid", "label", "n", "regs")).mapInArrow(partners, "bucket long, i int, j int, own int, cid long, label long"), "partners")
+    sets = full_sets(found.select("cid"), classes, docs, k)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            (i, j), (own, cid, label) = [group.column(c)[0].as_py() for c in (1, 2)], [group.column(c).to_numpy() for c in range(3, 6)]
+            a, b = apart(i, j, own, label)
+            if not len(a):
+                continue
+            shared = intersections([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(6)])
+            sizes = np.array([len(x.as_buffer()) // 8 for x in group.column(6)])
+            both = shared[a, b]
+            on = 100 * both >= percent * (sizes[a] + sizes[b] - both)
+            a, b = spanning(label, a[on], b[on])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], ["a", "b"])
+
+    return dealt(found.join(sets, "cid").select(*key, "own", "cid", "label", "shingles")).mapInArrow(links, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections. Only shingles that two sets hold have a column, and columns are multiplied in parts."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(values)) > 1
+    number = np.where(often, np.cumsum(often) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(often.sum()), 4096):
+        s, e = np.searchsorted(number, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[s:e], number[s:e] - at] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the links (a, b), those that join labels that the ones before haven't joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        one, two = root(int(label[x])), root(int(label[y]))
+        if one != two:
+            parent[one] = two
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -257,12 +335,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     members = staged(found.join(heads, "bucket"), "members")
     pairs = members.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = staged(fitting(pairs, classes, least), "pairs")
-    links = staged(confirmed(pairs, classes, docs, k, percent), "confirmed")
+    sets = full_sets(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), classes, docs, k)
+    links = staged(confirmed(pairs, sets, percent), "confirmed")
     labels = staged(components(links), "labels")
-    more = staged(across(members, labels, classes, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = staged(across(members, labels, classes, docs, k, percent), "across")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, classes, docs, k, percent))
-        labels = staged(components(links), "labels")
+        labels = staged(components(links.unionByName(more)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("f1", "f2", "first_id", F.coalesce("label", "cid").alias("label"))
     least_ids = named.groupBy("label").agg(F.min("first_id").alias("component"))
     named = named.join(least_ids, "label").select("f1", "f2", "component")
