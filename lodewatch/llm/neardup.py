@@ -6,8 +6,8 @@ distributed over a permutation of the registers, so few of them are made before
 filling the gap between MinHash and HyperLogLog", 2021). Equal registers mark likely similar sets.
 
 1. Documents of one set form a class; from here on classes stand for all their copies.
-2. Bands of registers are bucketed. Each class is paired with the least class of each of its buckets, a number of pairs
-   in proportion to the classes however large a bucket is.
+2. Bands of registers are bucketed. Each class is paired with the least and the greatest class of each of its buckets,
+   a number of pairs in proportion to the classes however large a bucket is.
 3. A pair stays if the likelihood of its register comparison, joint with the known set sizes, does not speak against the
    wanted similarity by ``SIGMAS`` standard deviations.
 4. What stays is confirmed on the full sets, and components are taken.
@@ -37,7 +37,7 @@ from .wordhash import SPACES, mixed, small_batches, windows, word_hashes
 REGISTERS, BAND, BASE, RATE = 128, 5, 1.001, 20.0
 SIGMAS = 6.0
 #: Classes of one block of a bucket that is compared in full.
-BLOCK = 128
+BLOCK = 512
 
 
 # --- sets and sketches
@@ -331,9 +331,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = bands(classes)
-    heads = found.groupBy("bucket").agg(F.min("cid").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    heads = found.groupBy("bucket").agg(F.min("cid").alias("head"), F.max("cid").alias("tail"), F.count("*").alias("size")).filter("size > 1")
     members = staged(found.join(heads, "bucket"), "members")
-    pairs = members.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    ends = [members.filter(f"cid <> {end}").select(F.least(end, "cid").alias("a"), F.greatest(end, "cid").alias("b")) for end in ("head", "tail")]
+    pairs = ends[0].unionByName(ends[1]).distinct()
     pairs = staged(fitting(pairs, classes, least), "pairs")
     sets = full_sets(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), classes, docs, k)
     links = staged(confirmed(pairs, sets, percent), "confirmed")
