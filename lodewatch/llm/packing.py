@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from .common import pick
 
 #: Tokens and documents of one window: bounds of a task's memory and time.
-WINDOW_TOKENS, WINDOW_DOCS = 1 << 24, 1 << 16
+WINDOW_TOKENS, WINDOW_DOCS = 1 << 22, 1 << 16
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

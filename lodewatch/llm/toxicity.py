@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pick, staged
 from .wordhash import NOT_ALNUM, mixed, small_batches, word_hashes
 
-DIMENSIONS = 1 << 22
+DIMENSIONS = 1 << 21
 SAMPLE_ROWS, SHARD_ROWS, EPOCHS = 1 << 16, 1 << 14, 4
 #: A feature is learned if so many rows of the shard have it.
 LEAST_ROWS = 5
