@@ -1,0 +1,44 @@
+"""Risk rules as data. Patterns are written for ASCII word edges; ``java_pattern`` adapts them to Java's Unicode ``\\b``."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Rule:
+    rule_id: str
+    severity: str
+    category: str
+    suffixes: tuple[str, ...]  # of file names; none: every text file
+    patterns: tuple[str, ...]
+    message: str
+
+
+# fixed values: rule ids, severities, file kinds, patterns and messages
+RULES = (
+    Rule("CODEEXEC-PY-EVAL", "critical", "code-execution", (".py",), (r"\beval\s*\(",), "Python eval() call — arbitrary code execution risk."),
+    Rule("CODEEXEC-PY-OSSYS", "critical", "code-execution", (".py",), (r"\bos\.system\s*\(", r"\bos\.popen\s*\("), "Python OS command execution — command injection risk."),
+    Rule("CODEEXEC-DESERIALIZE", "high", "code-execution", (".py", ".rb", ".php", ".js", ".ts"), (r"\bpickle\.loads?\s*\(", r"\byaml\.load\s*\(", r"\bunserialize\s*\(", r"\bMarshal\.load\s*\("), "Unsafe deserialization — may allow arbitrary code execution via crafted input."),
+    Rule("GIT-HISTORY-SCAN", "medium", "git-history", (".sh", ".bash", ".py", ".js", ".ts", ".mjs", ".md"), (r"\bgit\s+log\b[^\n]{0,80}-p\b[^\n]*\|[^\n]*\bgrep\b", r"\bgit\s+rev-list\s+--all\b[^\n]{0,80}\|\s*xargs\b", r"\bgit\s+log\b[^\n]{0,60}--all\b[^\n]*\|\s*grep\b", r"\bgit\s+grep\b[^\n]{0,60}--all-objects\b"), "Git history scanning detected — may uncover secrets from past commits."),
+    Rule("NET-RAW-SOCKET", "medium", "network-exfil", (".py", ".sh", ".js", ".ts", ".mjs"), (r"\bsocket\.socket\s*\(", r"\bsocket\s*\.\s*connect\s*\(\s*\(", r"\bnet\.createConnection\s*\(", r"\bnet\.connect\s*\("), "Raw socket creation detected — may be used for covert C2 communication."),
+    Rule("OBFS-HEX-LARGE", "high", "obfuscation", (), (r"(?:0x)?[0-9a-fA-F]{400,}",), "Large hex literal detected — possible obfuscated shellcode or binary payload."),
+)
+
+# fixed values: rules that force a verdict alone, and the parts of compound triggers
+FAIL_ALONE = ("NET-EXFIL-ENV", "NET-WEBHOOK-KNOWN", "SKILL-PASSWORD-ZIP", "PI-EXFIL-TRIGGER-CLAUSE", "OBFS-EVAL-ATOB")
+PIPE_RULES = ("SKILL-CURL-BASH-IN-MD", "SKILL-FETCH-AND-EXEC", "CODEEXEC-JS-CHILDPROCESS-SHELL", "CODEEXEC-SHELL-BACKTICK")
+STORE_RULES = ("FS-CREDSTORE", "FS-BROWSER-CREDENTIALSTORE", "FS-KEYCHAIN-ACCESS")
+SAME_LINE = (
+    ("PI-JAILBREAK", "FS-CREDSTORE"),
+    ("PI-JAILBREAK", "FS-BROWSER-CREDENTIALSTORE"),
+    ("PI-JAILBREAK", "FS-KEYCHAIN-ACCESS"),
+    ("PI-PRIV-ESCALATE-INSTRUCTION", "FS-BROWSER-CREDENTIALSTORE"),
+    ("PI-PRIV-ESCALATE-INSTRUCTION", "FS-KEYCHAIN-ACCESS"),
+)
+SEVERITIES = ("critical", "high", "medium", "low", "info")
+PENALTIES = {"critical": 25, "high": 10, "medium": 3, "low": 1}
+
+
+def java_pattern(pattern: str) -> str:
+    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")

@@ -1,0 +1,90 @@
+from lodewatch.functions.text import is_documentation, redacted
+from lodewatch.operators.dedupe import merge_equal
+from lodewatch.operators.matching import fingerprints, first_per_line, match_all
+from lodewatch.operators.scoring import risk_order, run_summary, score_targets
+from lodewatch.sources.files import folder_files, tree_hash
+from pyspark.sql import functions as F
+
+FINDING = "target_id string, path string, line int, rule_id string, severity string"
+
+
+def scored(spark, findings, targets=(("t", ""),), allowlist=None):
+    t = spark.createDataFrame(list(targets), "target_id string, tree_sha256 string")
+    allow = spark.createDataFrame([(a,) for a in allowlist], "tree_sha256 string") if allowlist else None
+    return {r.target_id: r for r in score_targets(t, spark.createDataFrame(findings, FINDING), allow).collect()}
+
+
+def test_matches_know_line_and_utf16_column(spark):
+    files = spark.createDataFrame([("t", "a.py", "x = 1\n😀 = eval (y); eval(z)\n"), ("t", "a.txt", "eval(x)"), ("t", "b.py", None), ("t", "c.py", "éeval(x) medieval(x)")], "target_id string, path string, content string")
+    found = [(r.path, r.line, r.column, r.snippet) for r in first_per_line(match_all(files)).orderBy("path").collect()]
+    assert found == [("a.py", 2, 6, "😀 = eval (y); eval(z)"), ("c.py", 1, 2, "éeval(x) medieval(x)")]
+
+
+def test_score_counts_distinct_rules(spark):
+    r = scored(spark, [("t", "a", 1, "X", "critical"), ("t", "a", 2, "X", "critical"), ("t", "a", 2, "Y", "low")])["t"]
+    assert (r.critical, r.low, r.score, r.verdict, r.mandatory_fail) == (1, 1, 74, "REVIEW", [])
+
+
+def test_target_without_findings_passes(spark):
+    r = scored(spark, [], [("t", "")])["t"]
+    assert (r.score, r.verdict) == (100, "PASS")
+
+
+def test_compound_triggers(spark):
+    rows = [
+        ("alone", "a", 1, "OBFS-EVAL-ATOB", "info"),
+        ("pipe", "a", 1, "DEPS-REMOTE-IMPORT", "low"), ("pipe", "a", 2, "SKILL-FETCH-AND-EXEC", "low"),
+        ("net", "a", 1, "FS-CREDSTORE", "low"), ("net", "b", 1, "NET-B", "low"), ("net", "a", 9, "NET-A", "low"),
+        ("line", "a", 3, "PI-JAILBREAK", "high"), ("line", "a", 3, "FS-KEYCHAIN-ACCESS", "low"),
+        ("lines", "a", 3, "PI-JAILBREAK", "high"), ("lines", "a", 4, "FS-KEYCHAIN-ACCESS", "low"),
+        ("inject", "a", 3, "PI-X", "critical"), ("inject", "a", 4, "FS-KEYCHAIN-ACCESS", "low"),
+    ]
+    got = scored(spark, rows, [(t, "") for t in ("alone", "pipe", "net", "line", "lines", "inject")])
+    assert {k: v.mandatory_fail for k, v in got.items()} == {
+        "alone": ["OBFS-EVAL-ATOB"], "pipe": ["DEPS-REMOTE-IMPORT", "SKILL-FETCH-AND-EXEC"], "net": ["FS-CREDSTORE", "NET-A"],
+        "line": ["FS-KEYCHAIN-ACCESS", "PI-JAILBREAK"], "lines": [], "inject": ["FS-KEYCHAIN-ACCESS", "PI-X"],
+    }
+    assert got["net"].verdict == "FAIL" and got["lines"].verdict == "PASS"
+
+
+def test_allowlisted_injections_count_as_info(spark):
+    sha = "a" * 64
+    r = scored(spark, [("t", "a", 1, "PI-X", "critical")], [("t", sha)], [sha, "0" * 64, "short"])["t"]
+    assert (r.allowlisted, r.critical, r.info, r.verdict) == (True, 0, 1, "PASS")
+
+
+def test_risk_order_and_summary(spark):
+    rows = [("b", "a", 1, "X", "critical"), ("a", "a", 1, "X", "critical"), ("c", "a", 1, "OBFS-EVAL-ATOB", "info")]
+    t = spark.createDataFrame([(x, "") for x in "abcd"], "target_id string, tree_sha256 string")
+    done = score_targets(t, spark.createDataFrame(rows, FINDING))
+    assert [r.target_id for r in risk_order(done).orderBy("rank").collect()] == ["a", "b", "c", "d"]
+    r = run_summary(done).first()
+    assert (r.scanned, r.compromised, r.percent_compromised, r.verdict) == (4, 1, 25.0, "FAIL")
+
+
+def test_merge_keeps_the_installed_path_and_never_groups_empty_hashes(spark):
+    rows = [("x", "r/plugins/marketplaces/a", "h"), ("y", "r/z", "h"), ("y", "r/plugins/cache/a", "h"), ("x", "p", ""), ("x", "q", "")]
+    got = merge_equal(spark.createDataFrame(rows, "agent_id string, path string, tree_sha256 string")).collect()
+    assert sorted((r.tree_sha256, r.path, len(r.paths)) for r in got) == [("", "p", 1), ("", "q", 1), ("h", "r/z", 3)]
+
+
+def test_text_functions(spark):
+    rows = spark.createDataFrame([("docs/a.py",), ("src/README.md",), ("src/run.py",), ("a/test_x.py",)], "p string")
+    assert [r[0] for r in rows.select(is_documentation(F.col("p"))).collect()] == [True, True, False, True]
+    rows = spark.createDataFrame([("token = abcdefgh1",), ("plain words",)], "p string")
+    assert [r[0] for r in rows.select(redacted(F.col("p"))).collect()] == ["[REDACTED]", "plain words"]
+
+
+def test_folder_and_tree_hash(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.py").write_text("eval(x)")
+    files = folder_files(spark, f"file://{tmp_path}")
+    assert files.count() == 1
+    hashed = tree_hash(files.select(F.lit("t").alias("target_id"), F.lit("a.py").alias("rel_path"), "sha256")).first()
+    assert len(hashed.tree_sha256) == 64
+
+
+def test_fingerprints_count_equal_lines(spark):
+    rows = spark.createDataFrame([("a", "X", "s  t", 1, 1), ("a", "X", "s t", 5, 1)], "path string, rule_id string, snippet string, line int, column int")
+    got = sorted(r.line_hash for r in fingerprints(rows).collect())
+    assert [x.partition(":")[2] for x in got] == ["1", "2"] and len({x[:16] for x in got}) == 1
