@@ -28,6 +28,8 @@ from .common import pick
 
 #: Vectors of one shard and queries of one block, about.
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+#: Queries that are searched together, terms of one step, and the share of candidates that is worth probing one by one.
+TOGETHER, STEP, FEW = 64, 8, 0.05
 
 
 def block_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,17 +48,22 @@ def block_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     first = q @ c[:head].T
     first[q_ids[:, None] == c_ids[None, :head]] = -np.inf
     theta = np.partition(first, head - k, axis=1)[:, head - k] if head > k else np.full(len(q), -np.inf)
-    # essential terms: as few as half of the terms, their postings traversed for all candidates
-    essential = max(1, dims // 2)
-    partial = q[:, order[:essential]] @ c[:, order[:essential]].T
-    live = partial + rest[:, essential][:, None] >= theta[:, None]
-    live &= q_ids[:, None] != c_ids[None, :]
+    # essential terms: postings are traversed for all candidates until few of them are competitive
+    apart = q_ids[:, None] != c_ids[None, :]
+    partial, at = np.zeros((len(q), len(c))), 0
+    while at < dims:
+        terms = order[at : at + STEP]
+        partial += q[:, terms] @ c[:, terms].T
+        at = min(at + STEP, dims)
+        live = apart & (partial + rest[:, at][:, None] >= theta[:, None])
+        if live.mean() < FEW:
+            break
     qi, ci = np.nonzero(live)
     score = partial[qi, ci]
-    for at in range(essential, dims, 8):  # probe the others, a few terms at a time, while competitive
-        terms = order[at : at + 8]
-        score = score + np.einsum("ij,ij->i", q[qi][:, terms], c[ci][:, terms])
-        on = score + rest[qi, min(at + 8, dims)] >= theta[qi]
+    for at in range(at, dims, STEP):  # probe the others, a few terms at a time, while competitive
+        terms = order[at : at + STEP]
+        score = score + np.einsum("ij,ij->i", q[:, terms][qi], c[:, terms][ci])
+        on = score + rest[qi, min(at + STEP, dims)] >= theta[qi]
         qi, ci, score = qi[on], ci[on], score[on]
     best = np.lexsort((ci, -score, qi))
     qi, ci, score = qi[best], ci[best], score[best]
@@ -88,8 +95,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
         c = c.sort_values("vec_id", kind="stable")
         (qm, q_ids), (cm, c_ids) = matrix(q, dims), matrix(c, dims)
         parts = []
-        for at in range(0, len(q), 256):
-            qi, ci, score = block_top(qm[at : at + 256], q_ids[at : at + 256], cm, c_ids, k)
+        for at in range(0, len(q), TOGETHER):
+            qi, ci, score = block_top(qm[at : at + TOGETHER], q_ids[at : at + TOGETHER], cm, c_ids, k)
             parts.append(pd.DataFrame({"query_id": q_ids[at + qi], "vec_id": c_ids[ci], "score": score.astype(np.int64)}))
         return pd.concat(parts)
 
