@@ -40,6 +40,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows in one batch from now on: texts are long, and two copies are held."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def purge_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table under the session's folder; results not yet written are lost with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/lodewatch")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, short_batches
 from .wordhash import NOT_ALNUM, hash_word, small_batches, word_hashes
 
 # fixed values: phrases whose places are counted, with the label of each
@@ -196,6 +196,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES) -> DataFrame:
     """Words, phrase places, labels and covered spans of each row of ``docs`` (doc_id, text)."""
 
+    short_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)
         for batch in small_batches(batches):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, scratch_path, staged
+from .common import pick, scratch_path, short_batches, staged
 
 KEY = ["h1", "h2"]
 BATCHES, FAN_OUT = 4, 3
@@ -39,6 +39,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, h1, h2) of each distinct key of each row."""
 
+    short_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged
+from .common import pick, short_batches, staged
 from .components import components
 from .wordhash import SPACES, mixed, small_batches, windows, word_hashes
 
 REGISTERS, BAND, BASE, RATE = 128, 5, 1.001, 20.0
 SIGMAS = 6.0
 #: Classes of one block of a bucket that is compared in full.
-BLOCK = 512
+BLOCK = 256
 
 
 # --- sets and sketches
@@ -327,6 +327,7 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int]
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     least = percent / 100
+    short_batches(docs.sparkSession)
     rows = staged(sketches(docs, k), "sketches")
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")

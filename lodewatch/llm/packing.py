@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, short_batches
 
 #: Tokens and documents of one window: bounds of a task's memory and time.
 WINDOW_TOKENS, WINDOW_DOCS = 1 << 22, 1 << 16
@@ -128,6 +128,7 @@ def plan(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) ->
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, linear: float = 1.0, quadratic: float = 1.0 / 4096, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): where each run of a document's ids lies, and with ``with_ids`` the ids."""
+    short_batches(docs.sparkSession)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged
+from .common import pick, short_batches, staged
 from .wordhash import NOT_ALNUM, mixed, small_batches, word_hashes
 
 DIMENSIONS = 1 << 21
@@ -101,6 +101,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> Model:
     """A model from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text) that aren't held out."""
+    short_batches(docs.sparkSession)
     marked = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = marked.count()
@@ -135,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of every row of ``docs``, its ``score`` and ``predicted``."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = pick(docs, *columns, "text").withColumn("text", F.lower("text")) if "text" not in columns else pick(docs, *columns).withColumn("lw_text", F.lower("text"))
 
