@@ -14,6 +14,7 @@ are cut; an empty table gives no rows; extra columns are left alone.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,8 @@ from .common import pick, short_batches
 
 #: Tokens and documents of one window: bounds of a task's memory and time.
 WINDOW_TOKENS, WINDOW_DOCS = 1 << 22, 1 << 16
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 18
+#: New words after which a task's cache of ids starts afresh; words of the cache before are still found and carried on.
+CACHE_WORDS = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,15 +42,22 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """
     if path in _encoders:
         return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     known: dict[bytes, bytes] = {}
+    before: dict[bytes, bytes] = {}
     ids_of = lambda words: [np.array(e.ids, "<u2").tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(words: set[bytes]) -> None:
         if len(known) > CACHE_WORDS:
+            before.clear()
+            before.update(known)
             known.clear()
+        carried = {w: before[w] for w in words if w in before}
+        known.update(carried)
+        words = {w for w in words if w not in carried}
         split, new = {}, set()
         for w in words:
             core = w.rstrip(b".,")
@@ -71,9 +79,14 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         found = list(map(known.get, words))
         if None in found:
             learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = list(map(known.__getitem__, words)) if all(w in known for w in words) else [known.get(w) or ids_of([w.decode()])[0] for w in words]
+            found = [known[w] if w in known else before[w] for w in words]
         return np.frombuffer(b"".join(found), "<u2")
 
+    def forget() -> None:
+        known.clear()
+        before.clear()
+
+    encode.forget = forget
     _encoders[path] = encode
     return encode
 
@@ -144,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
                     names, ids, held = [], [], 0
         if ids:
             yield names, ids
+        encode.forget()  # the worker lives on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
