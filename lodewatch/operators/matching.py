@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import RULES, Rule, java_pattern
 
-#: A private-use character that marks the starts of matches; taken out of texts first.
-MARK = "\ue000"
+#: Private-use characters that mark the starts of matches and the ends of groups; taken out of texts first.
+MARK, GROUP = "\ue000", "\ue001"
+#: Columns of the views that rules name.
+VIEWS = {"code": "code_view", "docs": "docs_view", "outbound": "outbound_view"}
+
+
+def matches_glob(name: Column, glob: str) -> Column:
+    """A glob is a whole name, or what stands before its first and after its last star; the two may overlap."""
+    if "*" not in glob:
+        return name == glob
+    return name.startswith(glob.split("*", 1)[0]) & name.endswith(glob.rsplit("*", 1)[1])
 
 
 def applies(name: Column, rule: Rule) -> Column:
-    out = F.lit(not rule.suffixes)
-    for suffix in rule.suffixes:
-        out = out | name.endswith(suffix)
-    return out
+    return reduce(lambda a, b: a | b, [matches_glob(name, g) for g in rule.names])
+
+
+def _hit(rule: Rule, nr: int, pattern: str, text: Column) -> Column:
+    """The hits of one pattern: the text cut before each match. A match with a group ``finding`` is preceded by that group."""
+    java, found = java_pattern(pattern), "(?<finding>" in pattern
+    pieces = F.split(F.regexp_replace(text, java, MARK + ("${finding}" + GROUP if found else "") + "$0"), MARK)
+    cut = lambda p, n: F.element_at(F.split(p, GROUP), n)
+    shifts = F.transform(pieces, lambda p: F.instr(cut(p, -1), cut(p, 1)) - 1) if found else F.lit(None).cast("array<int>")
+    return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), F.lit(nr).alias("pattern_idx"), (F.transform(pieces, lambda p: cut(p, -1)) if found else pieces).alias("pieces"), shifts.alias("shifts"))
 
 
 def match_all(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(target_id, path, rule_id, severity, message, pattern_idx, line, column, snippet) of each match in ``files`` (target_id, path, content).
 
-    Patterns are literals of one expression, so each is compiled once and texts don't leave the JVM. Texts that no
-    pattern hits are dropped before anything is exploded.
+    A rule reads the view that it names where ``files`` has it (see ``functions.views``), else the content. Patterns are
+    literals of one expression, so each is compiled once and texts don't leave the JVM. Texts that no pattern hits are
+    dropped before anything is exploded. Null content holds no match.
     """
-    content = F.translate(F.coalesce("content", F.lit("")), MARK, "")
-    rows = files.select("target_id", "path", content.alias("content"))
+    clean = lambda c: F.translate(F.coalesce(c, F.lit("")), MARK + GROUP, "")
+    views = {v: c for v, c in VIEWS.items() if c in files.columns}
+    rows = files.select("target_id", "path", clean("content").alias("content"), *[clean(c).alias(c) for c in views.values()])
     name = F.element_at(F.split("path", "/"), -1)
-    tests = [
-        F.when(applies(name, r) & F.regexp_like("content", F.lit(java_pattern(p))), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(i).alias("pattern_idx"), F.split(F.regexp_replace("content", java_pattern(p), MARK + "$0"), MARK).alias("pieces")))
-        for r in rules
-        for i, p in enumerate(r.patterns)
-    ]
+    tests = []
+    for rule in rules:
+        text = F.col(views.get(rule.view, "content"))
+        tests += [F.when(applies(name, rule) & F.regexp_like(text, F.lit(java_pattern(p))), _hit(rule, i, p, text)) for i, p in enumerate(rule.patterns)]
     rows = rows.withColumn("hit", F.explode(F.array_compact(F.array(*tests)))).select("target_id", "path", "content", "hit.*")
     rows = rows.withColumn("nr", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)))
-    rows = rows.withColumn("before", F.array_join(F.slice("pieces", 1, F.col("nr")), ""))
+    shift = F.coalesce(F.element_at("shifts", F.col("nr") + 1), F.lit(0))
+    before = F.concat(F.array_join(F.slice("pieces", 1, F.col("nr")), ""), F.substring(F.element_at("pieces", F.col("nr") + 1), F.lit(1), shift))
+    rows = rows.withColumn("before", before)
     lines = F.split("before", "\n")
     # columns count UTF-16 units
     column = F.octet_length(F.encode(F.element_at(lines, -1), "UTF-16BE")) / 2 + 1
