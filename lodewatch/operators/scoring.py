@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import FAIL_ALONE, PENALTIES, PIPE_RULES, SAME_LINE, SEVERITIES, STORE_RULES
+from .ordering import ranked
 
 
 def _first_of(ids: Column, wanted: tuple[str, ...]) -> Column:
@@ -71,7 +72,8 @@ def risk_order(summaries: DataFrame) -> DataFrame:
     verdict = F.when(F.col("verdict") == "FAIL", 0).when(F.col("verdict") == "REVIEW", 1).otherwise(2)
     worst = F.coalesce(*[F.when(F.col(s) > 0, F.lit(i)) for i, s in enumerate(SEVERITIES)], F.lit(99))
     ties = [c for c in ("agent_id", "name", "path", "target_id") if c in summaries.columns]
-    return summaries.withColumn("rank", F.row_number().over(Window.orderBy("score", verdict, worst, *ties)))
+    rows = summaries.withColumns({"verdict_rank": verdict, "severity_rank": worst})
+    return ranked(rows, ["score", "verdict_rank", "severity_rank", *ties]).drop("verdict_rank", "severity_rank")
 
 
 def run_summary(summaries: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodewatch.plans.queries import ORACLES, QUERIES
+from lodewatch.plans import inventory, queries
+
+ORACLES = {**queries.ORACLES, **inventory.ORACLES}
+QUERIES = {**queries.QUERIES, **inventory.QUERIES}
 
 SF = Path("/root/testdata/sf0.001")
 
