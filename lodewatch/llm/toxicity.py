@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
     # at most sample_rows pairs of numbers are broadcast
     rows = texts.join(F.broadcast(marked), "doc_id").select((F.col("toxic") > 0).cast("int").alias("label"), "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
     shards = max(1, -(-min(total, sample_rows) // shard_rows))
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "h")
+    # by number, as a hash of so few shards would put some of them into one task
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples: dict[int, list[tuple[np.ndarray, int]]] = {}
