@@ -30,9 +30,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
+#: What the third stage calls near copies: texts whose sets of five-word shingles have a similarity of 0.8 or more.
+NEAR = {"k": 5, "percent": 80, "band": 4}
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies. Of rows repeated with id and text one stays."""
-    found = staged(near_duplicates(docs), "near")
+    found = staged(near_duplicates(docs, **NEAR), "near")
     kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = pick(docs, *DOC_COLUMNS)
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -231,7 +231,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nr", "own", "cid", "label")
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, band: int = BAND) -> DataFrame:
     """Links (a, b) that join the components of classes sharing a bucket; nothing is left out.
 
     First the sketches tell which classes of a group have a likely partner in another component; a pair is looked at in
@@ -260,7 +260,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
             for at in range(0, len(a), 1 << 14):
                 x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
                 if nr:
-                    same = (regs[x, : nr * BAND] == regs[y, : nr * BAND]).reshape(len(x), nr, BAND)
+                    same = (regs[x, : nr * band] == regs[y, : nr * band]).reshape(len(x), nr, band)
                     first = ~same.all(axis=2).any(axis=1)
                     x, y = x[first], y[first]
                 on = likely((regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1), regs.shape[1], size[x].astype(float), size[y].astype(float), least)
@@ -324,14 +324,17 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int]
     return kept
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, band: int = BAND) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    A lower ``percent`` needs shorter bands: a link of similarity s is missed with a chance of about (1 - s**band) ** (REGISTERS // band).
+    """
     least = percent / 100
     short_batches(docs.sparkSession)
     rows = staged(sketches(docs, k), "sketches")
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    found = bands(classes)
+    found = bands(classes, band=band)
     heads = found.groupBy("bucket").agg(F.min("cid").alias("head"), F.max("cid").alias("tail"), F.count("*").alias("size")).filter("size > 1")
     members = staged(found.join(heads, "bucket"), "members")
     ends = [members.filter(f"cid <> {end}").select(F.least(end, "cid").alias("a"), F.greatest(end, "cid").alias("b")) for end in ("head", "tail")]
@@ -340,7 +343,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     sets = full_sets(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), classes, docs, k)
     links = staged(confirmed(pairs, sets, percent), "confirmed")
     labels = staged(components(links), "labels")
-    more = staged(across(members, labels, classes, docs, k, percent), "across")
+    more = staged(across(members, labels, classes, docs, k, percent, band), "across")
     if not more.isEmpty():
         labels = staged(components(links.unionByName(more)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("f1", "f2", "first_id", F.coalesce("label", "cid").alias("label"))

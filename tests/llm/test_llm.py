@@ -65,7 +65,7 @@ def sets_of(texts):
     return out
 
 
-def components_of(texts):
+def components_of(texts, percent=85):
     sets, parent = sets_of(texts), {i: i for i in texts}
 
     def root(x):
@@ -77,7 +77,7 @@ def components_of(texts):
     for n, a in enumerate(ids):
         for b in ids[:n]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in ids}, {i: len(s) for i, s in sets.items()}
@@ -219,3 +219,24 @@ def test_pipeline(spark):
     found, _ = components_of(texts)
     assert all(i == c for i, c in found.items())  # no two near copies are left
     assert corpus_pipeline.run(spark, str(SF)).count() > 0
+
+
+def test_near_copies_of_the_stage_match_brute_force_at_80(spark):
+    texts = {}
+    for i in range(12):  # two edits that leave 78 of 94 shingles, two that leave 76 of 96
+        words = [f"w{i}x{j}" for j in range(90)]
+        for nr, edits in enumerate([(), (40, 87), (20, 60)]):
+            texts[3 * i + nr] = " ".join("new" if j in edits else w for j, w in enumerate(words))
+    wanted, _ = components_of(texts, 80)
+    assert len(set(wanted.values())) == 24 and len(set(components_of(texts)[0].values())) == 36
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left) == sorted(set(wanted.values()))
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
+def test_no_near_copies_at_80_are_left_by_the_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wanted, _ = components_of({r.doc_id: r.text for r in docs.collect()}, 80)
+    left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(SF)).collect()]
+    assert sorted(left) == sorted(set(wanted.values()))
