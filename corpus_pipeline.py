@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewatch.llm.common import DOC_COLUMNS, pick, staged
+from lodewatch.llm.common import DOC_COLUMNS, identity, pick, staged
 from lodewatch.llm.linededup import dedup_lines
 from lodewatch.llm.mixing import mix
 from lodewatch.llm.neardup import near_duplicates
@@ -35,13 +35,19 @@ NEAR = {"k": 5, "percent": 80, "band": 4}
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies. Of rows repeated with id and text one stays."""
-    found = staged(near_duplicates(docs, **NEAR), "near")
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = pick(docs, *DOC_COLUMNS)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near copies, that of the least id. Of rows repeated with id and text one stays.
+
+    Rows go by id and text together: an id that stands for several texts, or a null one, keeps only the rows chosen.
+    """
+    rows = pick(docs, *DOC_COLUMNS).withColumn("row_key", identity("doc_id", "text"))
+    found = staged(near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), **NEAR), "near")
+    ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    ids = staged(found.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(ids, "row_key"), "near-ids")
+    first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    chosen = ids.groupBy("component_id").agg(first.alias("row_key")).select("row_key")
+    again = not ids.filter("n > 1").isEmpty()
+    rows = rows.join(chosen, "row_key", "left_semi")
+    return (rows.dropDuplicates(["row_key"]) if again else rows).select(*DOC_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,3 +240,12 @@ def test_no_near_copies_at_80_are_left_by_the_stage(spark):
     wanted, _ = components_of({r.doc_id: r.text for r in docs.collect()}, 80)
     left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(SF)).collect()]
     assert sorted(left) == sorted(set(wanted.values()))
+
+
+def test_near_copies_of_the_stage_go_by_row_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    texts = [(1, a), (1, b), (2, b + " end"), (None, a + " end"), (None, c), (None, c), (None, c + " end"), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(x for x in left if x[0]) == sorted([(1, a), (1, b), (3, ""), (4, None)], key=lambda x: (x[0], x[1] or ""))
+    assert [i for i, _ in left].count(None) == 1 and {t for i, t in left if i is None} <= {c, c + " end"}
