@@ -82,17 +82,25 @@ def merged_headers(own: Column, base: Column) -> Column:
 
 
 def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(record_id, url, at, status, headers, body, outcome, base_id): resolved revisits as full responses, the rest as they are.
+    """(record_id, url, at, canonical, full, status, headers, body, outcome, base_id): resolved revisits as full responses, the rest as they are.
 
-    ``records`` has record_id, url, at, status, headers (map) and body; record ids must be unique.
+    ``records`` has record_id, url, at, status, headers (map) and body; record ids must be unique. ``resolved`` should
+    have been written: it is read twice.
     """
-    rows = pick(records, "record_id", "url", "at", "status", "headers", "body").join(resolved.select("record_id", "outcome", "base_id"), "record_id")
-    plain = rows.filter("outcome <> 'resolved'")
-    base = pick(records, "record_id", "status", "headers", "body").toDF("base_id", "base_status", "base_headers", "base_body")
-    done = rows.filter("outcome = 'resolved'").join(base, "base_id").select("record_id", "url", "at", F.col("base_status").alias("status"), merged_headers(F.col("headers"), F.col("base_headers")).alias("headers"), F.col("base_body").alias("body"), "outcome", "base_id")
+    found = resolved.select("record_id", "canonical", "full", "outcome", "base_id")
+    plain = pick(records, "record_id", "url", "at", "status", "headers", "body").join(found.filter("outcome <> 'resolved'"), "record_id")
+    # a revisit has no body of its own
+    own = pick(records, "record_id", "url", "at", "status", "headers").filter("status = 304").join(found.filter("outcome = 'resolved'"), "record_id")
+    base = pick(records, "record_id", "status", "headers", "body").filter("status <> 304").toDF("base_id", "base_status", "base_headers", "base_body")
+    done = own.join(base, "base_id").select("record_id", "url", "at", "canonical", "full", F.col("base_status").alias("status"), merged_headers(F.col("headers"), F.col("base_headers")).alias("headers"), F.col("base_body").alias("body"), "outcome", "base_id")
     return plain.select(*done.columns).unionByName(done)
 
 
+def headers_digest(headers: Column) -> Column:
+    """MD5 of the sorted lines ``name=value``."""
+    return F.md5(F.array_join(F.array_sort(F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n").cast("binary"))
+
+
 #: Pages in a row, by id, that share a version of the site, and so the validators.
 PAGES_A_VERSION = 20_000
 
@@ -100,21 +108,34 @@ PAGES_A_VERSION = 20_000
 def page_captures(pages: DataFrame) -> DataFrame:
     """Captures from the table of pages: each page is a full response, followed by a visit of its URL that was answered "not modified".
 
-    The visit sends the entity tag of its URL's version at that time, so it agrees with the page unless a later full
-    response of the same canonical URL came between.
+    The visit sends the validators of its URL's version at that time, so it agrees with the page unless a later full
+    response of the same canonical URL came between. A fifth of the pages and their visits have no entity tag, and are
+    compared by modification time, of which each version of a URL has its own.
     """
     rows = pick(pages, "page_id", "url", "html")
     version = F.floor(F.col("page_id") / PAGES_A_VERSION)
     digest = F.md5(F.concat_ws(":", F.coalesce("url", F.lit("")), version).cast("binary"))
-    full = rows.select((2 * F.col("page_id")).alias("record_id"), "page_id", "url", F.col("page_id").alias("at"), F.lit(200).alias("status"), digest.alias("etag"), version.alias("modified"))
+    etag = F.when(F.col("page_id") % 5 != 3, digest)
+    modified = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     # half of all visits come much later than their page
     later = F.col("page_id") + F.when(F.col("page_id") % 2 == 0, F.lit(0)).otherwise(F.lit(PAGES_A_VERSION))
-    visit = rows.select((2 * F.col("page_id") + 1).alias("record_id"), "page_id", "url", later.alias("at"), F.lit(304).alias("status"), digest.alias("etag"), version.alias("modified"))
+
+    def captures(record_id: Column, at: Column, status: int, body: Column, **headers: Column) -> DataFrame:
+        pairs = {"date": at.cast("string"), "etag": etag, "last-modified": modified.cast("string")} | {k.replace("_", "-"): v for k, v in headers.items()}
+        known = F.map_filter(F.create_map(*[c for k, v in pairs.items() for c in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+        return rows.select(record_id.alias("record_id"), "page_id", "url", at.alias("at"), F.lit(status).alias("status"), etag.alias("etag"), modified.alias("modified"), known.alias("headers"), body.alias("body"))
+
+    full = captures(2 * F.col("page_id"), F.col("page_id"), 200, F.col("html"), content_type=F.lit("text/html"), content_length=F.octet_length("html").cast("string"), server=F.lit("origin"), cache_control=F.lit("no-cache"))
+    renewed = F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("max-age="), (F.col("page_id") % 7).cast("string")))
+    visit = captures(2 * F.col("page_id") + 1, later, 304, F.lit(None).cast("string"), content_length=F.lit("0"), server=F.lit("edge"), cache_control=renewed)
     return full.unionByName(visit)
 
 
 def op4_revisit_resolution(spark, sf_dir: str) -> DataFrame:
-    return resolve(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """All captures, resolved and materialised; headers and bodies, the merged ones of resolved revisits, as digests."""
+    records = page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    done = materialise(records, staged(resolve(records), "resolved"))
+    return done.select("record_id", "canonical", "full", "outcome", "base_id", "status", headers_digest(F.col("headers")).alias("headers_md5"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 OP4_SQL = r"""
@@ -135,8 +156,23 @@ WITH p AS (
 ), w AS (
   SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'modified': modified} END IGNORE NULLS)
     OVER (PARTITION BY canonical ORDER BY t, is_full DESC, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM r
-)
+), outcomes AS (
 SELECT record_id::BIGINT AS record_id, canonical, is_full AS "full",
        CASE WHEN is_full THEN 'full' WHEN base IS NULL THEN 'orphan' WHEN etag = base.etag THEN 'resolved' ELSE 'mismatch' END AS outcome,
        (CASE WHEN NOT is_full THEN base.id END)::BIGINT AS base_id FROM w
+), tags AS (
+  SELECT page_id, html, CASE WHEN page_id % 5 <> 3 THEN 'etag=' || etag END AS etag, 'last-modified=' || ('0x' || etag[1:15])::BIGINT AS modified FROM p JOIN pages USING (page_id)
+), records AS (
+  SELECT 2 * page_id AS record_id, 200 AS status, html AS body, list_filter(['content-type=text/html', 'content-length=' || strlen(html), 'server=origin', 'cache-control=no-cache', 'date=' || page_id, etag, modified], lambda x: x IS NOT NULL) AS headers FROM tags
+  UNION ALL
+  SELECT 2 * page_id + 1, 304, NULL, list_filter(['content-length=0', 'server=edge', CASE WHEN page_id % 7 > 0 THEN 'cache-control=max-age=' || (page_id % 7) END, 'date=' || (page_id + CASE WHEN page_id % 2 = 0 THEN 0 ELSE 20000 END), etag, modified], lambda x: x IS NOT NULL) FROM tags
+), joined AS (
+  SELECT o.*, own.status AS own_status, own.body AS own_body, own.headers AS own, base.status AS base_status, base.body AS base_body, base.headers AS base,
+         list_filter(own.headers, lambda x: split_part(x, '=', 1) IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'vary')) AS renewed
+  FROM outcomes o JOIN records own USING (record_id) LEFT JOIN records base ON o.outcome = 'resolved' AND base.record_id = o.base_id
+), merged AS (
+  SELECT *, CASE WHEN outcome = 'resolved' THEN list_filter(base, lambda x: NOT list_contains(list_transform(renewed, lambda y: split_part(y, '=', 1)), split_part(x, '=', 1))) || renewed ELSE own END AS headers FROM joined
+)
+SELECT record_id, canonical, "full", outcome, base_id, (CASE WHEN outcome = 'resolved' THEN base_status ELSE own_status END)::INTEGER AS status,
+       md5(array_to_string(list_sort(headers), chr(10))) AS headers_md5, md5(CASE WHEN outcome = 'resolved' THEN base_body ELSE own_body END) AS body_md5 FROM merged
 """

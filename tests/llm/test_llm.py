@@ -249,3 +249,19 @@ def test_near_copies_of_the_stage_go_by_row_where_ids_repeat(spark):
     left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(x for x in left if x[0]) == sorted([(1, a), (1, b), (3, ""), (4, None)], key=lambda x: (x[0], x[1] or ""))
     assert [i for i, _ in left].count(None) == 1 and {t for i, t in left if i is None} <= {c, c + " end"}
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
+def test_resolved_revisits_of_the_query_have_headers_and_body(spark):
+    import hashlib
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = {r.record_id: r for r in QUERIES["op4_revisit_resolution"](spark, str(SF)).collect()}
+    done = [r for r in rows.values() if r.outcome == "resolved"]
+    assert done and len(rows) == 2 * len(pages) and any(r.base_id // 2 % 5 == 3 for r in done)  # some without entity tag
+    for r in done:
+        html = pages[r.base_id // 2].html
+        assert (r.status, r.body_md5) == (200, hashlib.md5(html.encode()).hexdigest())
+        assert r.headers_md5
+    waiting = [r for r in rows.values() if r.outcome in ("mismatch", "orphan")]
+    assert all((r.status, r.body_md5) == (304, None) for r in waiting)
