@@ -9,10 +9,10 @@ The as-of join runs over slices of time that hold about equally many records: in
 full response on, and what a slice starts with comes from the slices before, one row for each URL and slice. So a URL
 with many captures is spread over slices. Bodies stay out of it; they are fetched by record id.
 
-Defined cases: records without URL or time, and without an earlier response, are ``orphan``; disagreeing validators give
-``mismatch`` (nothing is looked for further back) and no validators on either side ``unverified``; records of one time
-are ordered by id, full ones first; repeated rows are resolved one by one; an empty table gives no rows; extra columns
-are left alone.
+Defined cases: records of any other status, or of none, are ``other``: they are no base and stay as they are; revisits
+without URL or time, and without an earlier response, are ``orphan``; disagreeing validators give ``mismatch`` (nothing
+is looked for further back) and no validators on either side ``unverified``; records of one time are ordered by id, full
+ones first; repeated rows are resolved one by one; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def earlier_responses(records: DataFrame) -> DataFrame:
-    """``records`` (record_id, canonical, at, full, etag, modified) with ``base``, the struct of the latest earlier full response, or null.
+    """``records`` (record_id, canonical, at, full, revisit, etag, modified) with ``base``, the struct of the latest earlier full response, or null.
 
     ``records`` must have been written: it is read several times.
     """
@@ -62,15 +62,15 @@ def earlier_responses(records: DataFrame) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, canonical, full, outcome, base_id) of each row of ``records`` (record_id, url, at, status, etag, modified)."""
     rows = pick(records, "record_id", "url", "at", "status", "etag", "modified")
-    rows = staged(rows.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("at").cast("long").alias("at"), (F.coalesce(F.col("status"), F.lit(0)) != 304).alias("full"), "etag", "modified"), "captures")
+    rows = staged(rows.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("at").cast("long").alias("at"), F.col("status").eqNullSafe(200).alias("full"), F.col("status").eqNullSafe(304).alias("revisit"), "etag", "modified"), "captures")
     placed = "canonical IS NOT NULL AND at IS NOT NULL"
     done = earlier_responses(rows.filter(placed))
     tags = F.when(F.col("etag").isNotNull() & F.col("base.etag").isNotNull(), F.col("etag") == F.col("base.etag"))
     times = F.when(F.col("modified").isNotNull() & F.col("base.modified").isNotNull(), F.col("modified") == F.col("base.modified"))
     agree = F.coalesce(tags, times)
-    outcome = F.when(F.col("full"), "full").when(F.col("base").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
-    done = done.select("record_id", "canonical", "full", outcome.alias("outcome"), F.when(~F.col("full"), F.col("base.record_id")).alias("base_id"))
-    rest = rows.filter(f"NOT ({placed})").select("record_id", "canonical", "full", F.when(F.col("full"), "full").otherwise("orphan").alias("outcome"), F.lit(None).cast(dict(done.dtypes)["base_id"]).alias("base_id"))
+    outcome = F.when(F.col("full"), "full").when(~F.col("revisit"), "other").when(F.col("base").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
+    done = done.select("record_id", "canonical", "full", outcome.alias("outcome"), F.when(F.col("revisit"), F.col("base.record_id")).alias("base_id"))
+    rest = rows.filter(f"NOT ({placed})").select("record_id", "canonical", "full", F.when(F.col("full"), "full").when(~F.col("revisit"), "other").otherwise("orphan").alias("outcome"), F.lit(None).cast(dict(done.dtypes)["base_id"]).alias("base_id"))
     return done.unionByName(rest)
 
 
@@ -91,7 +91,7 @@ def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
     plain = pick(records, "record_id", "url", "at", "status", "headers", "body").join(found.filter("outcome <> 'resolved'"), "record_id")
     # a revisit has no body of its own
     own = pick(records, "record_id", "url", "at", "status", "headers").filter("status = 304").join(found.filter("outcome = 'resolved'"), "record_id")
-    base = pick(records, "record_id", "status", "headers", "body").filter("status <> 304").toDF("base_id", "base_status", "base_headers", "base_body")
+    base = pick(records, "record_id", "status", "headers", "body").filter("status = 200").toDF("base_id", "base_status", "base_headers", "base_body")
     done = own.join(base, "base_id").select("record_id", "url", "at", "canonical", "full", F.col("base_status").alias("status"), merged_headers(F.col("headers"), F.col("base_headers")).alias("headers"), F.col("base_body").alias("body"), "outcome", "base_id")
     return plain.select(*done.columns).unionByName(done)
 

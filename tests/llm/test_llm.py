@@ -265,3 +265,12 @@ def test_resolved_revisits_of_the_query_have_headers_and_body(spark):
         assert r.headers_md5
     waiting = [r for r in rows.values() if r.outcome in ("mismatch", "orphan")]
     assert all((r.status, r.body_md5) == (304, None) for r in waiting)
+
+
+def test_only_status_200_is_a_base(spark):
+    rows = [(1, 10, 200, "e1", "page"), (2, 20, 404, None, "not found"), (3, 25, None, "e1", "?"), (4, 26, 206, "e1", "pa"), (5, 30, 304, "e1", None)]
+    records = spark.createDataFrame([(i, "a.com/x", at, status, etag, None, {"date": str(at)}, body) for i, at, status, etag, body in rows], "record_id long, url string, at long, status int, etag string, modified long, headers map<string,string>, body string")
+    resolved = revisits.resolve(records)
+    assert {r.record_id: (r.full, r.outcome, r.base_id) for r in resolved.collect()} == {1: (True, "full", None), **dict.fromkeys((2, 3, 4), (False, "other", None)), 5: (False, "resolved", 1)}
+    done = {r.record_id: (r.status, r.body) for r in revisits.materialise(records, resolved).collect()}
+    assert done == {1: (200, "page"), 2: (404, "not found"), 3: (None, "?"), 4: (206, "pa"), 5: (200, "page")}
