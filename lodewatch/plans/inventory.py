@@ -10,7 +10,7 @@ from ..operators.matching import matches_glob
 from ..operators.reviews import compare_models, consensus, file_budget
 from ..operators.scoring import risk_order
 from .catalog import RULES
-from .queries import _findings_sql, _quoted, seeded_findings, seeded_summaries
+from .queries import _findings_sql, _quoted, seeded_findings, seeded_summaries, viewed_findings, viewed_summaries
 
 # Where documents stand, by remainder of the id.
 FOLDERS = ("skills", ".claude/plugins/cache/market/pack", ".codex/plugins/tools/skills", "x/plugins/marketplaces/m", ".cursor/plugins/kit", "v1.2.3", "deep/skills")
@@ -83,8 +83,8 @@ def f18_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(spark, sf_dir).select("path", source_label(c("path"), c("format"), c("name"), c("state")).alias("label"))
 
 
-def f19_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = seeded_findings(spark, sf_dir)
+def f19_issues(spark: SparkSession, sf_dir: str, findings=seeded_findings) -> DataFrame:
+    found = findings(spark, sf_dir)
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("target_id")).distinct()
     return top_issues(known.withColumn("allowlisted", F.lit(False)), found).select("target_id", "top_issue")
 
@@ -94,13 +94,13 @@ def f20_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(spark, sf_dir).select("path", fallback_name(folder).alias("name"))
 
 
-def k9_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seeded_summaries(spark, sf_dir)
+def k9_exit(spark: SparkSession, sf_dir: str, summaries=seeded_summaries) -> DataFrame:
+    rows = summaries(spark, sf_dir)
     return rows.select("target_id", exit_code(F.col("verdict")).alias("plain"), exit_code(F.col("verdict"), strict=True).alias("strict"), exit_code(F.col("verdict"), incomplete=True).alias("incomplete"))
 
 
-def o5_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_order(seeded_summaries(spark, sf_dir)).filter("verdict <> 'PASS'").orderBy(F.expr("verdict = 'FAIL'").desc(), "rank").limit(1).select("target_id", "verdict")
+def o5_highlight(spark: SparkSession, sf_dir: str, summaries=seeded_summaries) -> DataFrame:
+    return risk_order(summaries(spark, sf_dir)).filter("verdict <> 'PASS'").orderBy(F.expr("verdict = 'FAIL'").desc(), "rank").limit(1).select("target_id", "verdict")
 
 
 def o7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,13 @@ QUERIES = {
     "f9_owners": lambda s, d: owners(files(s, d)),
     "f18_source_label": f18_labels,
     "f19_seeded_top_issue": f19_issues,
+    "f19_viewed_top_issue": lambda s, d: f19_issues(s, d, viewed_findings),
     "f20_fallback_name": f20_names,
     "k9_seeded_exit_code": k9_exit,
+    "k9_viewed_exit_code": lambda s, d: k9_exit(s, d, viewed_summaries),
     "o2_list_order": lambda s, d: list_order(targets(s, d)).select("path", "rank"),
     "o5_seeded_highlight": o5_highlight,
+    "o5_viewed_highlight": lambda s, d: o5_highlight(s, d, viewed_summaries),
     "o7_file_budget": o7_budget,
 }
 

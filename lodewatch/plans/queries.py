@@ -25,10 +25,13 @@ def seeded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per_line(match_all(seeded_files(spark, sf_dir), PORTABLE))
 
 
+def summaries(spark: SparkSession, sf_dir: str, findings: DataFrame) -> DataFrame:
+    targets = seeded_files(spark, sf_dir).select("target_id", F.lit("").alias("tree_sha256")).distinct()
+    return score_targets(targets, findings)
+
+
 def seeded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = seeded_files(spark, sf_dir)
-    targets = files.select("target_id", F.lit("").alias("tree_sha256")).distinct()
-    return score_targets(targets, first_per_line(match_all(files, PORTABLE)))
+    return summaries(spark, sf_dir, seeded_findings(spark, sf_dir))
 
 
 def viewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +39,12 @@ def viewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per_line(match_all(with_views(seeded_files(spark, sf_dir))))
 
 
-def seeded_risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = risk_order(seeded_summaries(spark, sf_dir))
-    return ranked.select("target_id", *SEVERITIES, "score", "verdict", "rank")
+def viewed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(spark, sf_dir, viewed_findings(spark, sf_dir))
+
+
+def ranked_targets(scored: DataFrame) -> DataFrame:
+    return risk_order(scored).select("target_id", *SEVERITIES, "score", "verdict", "rank")
 
 
 def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +71,8 @@ def f22_redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha2(redacted(F.col("text")).cast("binary"), 256).alias("redacted_sha256"))
 
 
-def k2_sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprints(seeded_findings(spark, sf_dir))
+def sarif_rows(findings: DataFrame) -> DataFrame:
+    rows = fingerprints(findings)
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     return rows.select("path", "rule_id", level.alias("level"), F.col("line").alias("start_line"), F.col("column").alias("start_column"), "line_hash")
 
@@ -74,15 +80,19 @@ def k2_sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "m6_seeded_findings": seeded_findings,
     "m6_viewed_findings": viewed_findings,
-    "o1_seeded_risk_order": seeded_risk_order,
+    "o1_seeded_risk_order": lambda spark, d: ranked_targets(seeded_summaries(spark, d)),
+    "o1_viewed_risk_order": lambda spark, d: ranked_targets(viewed_summaries(spark, d)),
     "a16_seeded_run_summary": lambda spark, d: run_summary(seeded_summaries(spark, d)),
+    "a16_viewed_run_summary": lambda spark, d: run_summary(viewed_summaries(spark, d)),
     "a17_seeded_severity_buckets": lambda spark, d: severity_buckets(seeded_findings(spark, d)),
+    "a17_viewed_severity_buckets": lambda spark, d: severity_buckets(viewed_findings(spark, d)),
     "a11_dedupe_by_hash": a11_dedupe_by_hash,
     "a12_path_rank": lambda spark, d: targets_of(spark, d).select("path", path_rank(F.col("path")).alias("path_rank")),
     "f8_ignore_list": f8_ignore_list,
     "f11_docs_path": f11_docs_path,
     "f22_redact_secrets": f22_redact_secrets,
-    "k2_sarif_rows": k2_sarif_rows,
+    "k2_sarif_rows": lambda spark, d: sarif_rows(seeded_findings(spark, d)),
+    "k2_viewed_sarif_rows": lambda spark, d: sarif_rows(viewed_findings(spark, d)),
 }
 
 
