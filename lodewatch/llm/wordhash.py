@@ -1,7 +1,9 @@
 """Words of Arrow text columns as 64-bit hashes, by whole-array arithmetic.
 
-A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of running sums, and then mixed. Byte
-classes decide where words end, which is exact for UTF-8 as long as all separators are ASCII.
+A word of up to 16 bytes is read as two whole numbers, which hold all of it, and these are mixed; a longer one is hashed
+with XXH3. So no two short words of equal length share both numbers, and long words that are built alike don't collide
+as they do under a polynomial modulo 2**64. Byte classes decide where words end, which is exact for UTF-8 as long as all
+separators are ASCII.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes that are hashed in one go; longer texts are cut at separators.
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
+_SALT = np.uint64(0x2545F4914F6CDD1D)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_powers: dict[int, np.ndarray] = {}
+#: The first bytes of a number, by how many of them a word has.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
@@ -39,17 +43,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if n <= CHUNK_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 def _spans(data: np.ndarray, firsts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~separators[data]
     new = np.ones(len(data) + 1, bool)
@@ -62,9 +55,20 @@ def _spans(data: np.ndarray, firsts: np.ndarray, separators: np.ndarray) -> tupl
 
 
 def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    folded = np.zeros(len(data) + 16, np.uint8)
+    folded[: len(data)] = fold[data]
+    lengths = ends - starts
+    # the eight bytes that begin at each place, as a number
+    eight = np.ndarray(len(data) + 9, "<u8", folded, strides=(1,))
+    low = eight[starts] & _MASKS[np.minimum(lengths, 8)]
+    out = mixed(low ^ _SALT) + lengths.astype(np.uint64)
+    more = np.flatnonzero(lengths > 8)
+    high = eight[starts[more] + 8] & _MASKS[np.minimum(lengths[more] - 8, 8)]
+    out[more] += mixed(high + np.uint64(_BASE))
+    raw = folded.tobytes() if len(more) and int(lengths[more].max()) > 16 else b""
+    for i in np.flatnonzero(lengths > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return mixed(out)
 
 
 def word_hashes(texts: pa.Array, separators: np.ndarray, fold: np.ndarray = LOWER_ASCII) -> tuple[np.ndarray, np.ndarray]:
