@@ -1,18 +1,23 @@
 """Exact top-k search by inner product, pruned with MaxScore.
 
-A vector's components are the terms of a query and the entries of the postings. For a block of queries and a shard of
-candidates, each term has a bound: the most that it can add to a score, from the largest and least entry of its
-postings. Terms are ordered by bound. The first ones are essential: their postings are traversed for every candidate.
-The rest are non-essential: once the sum of their bounds can't lift a candidate over the query's current k-th score,
-they are probed only for the candidates that are still competitive. The first candidates of the shard, scored in
-full, give the threshold to start with. Each shard hands on its k best a query, and the shards are merged by rank.
+A vector's components are the terms of a query and the entries of the postings. In a shard of candidates each term of a
+query adds at least ``low`` and at most ``high`` to a score, from the least and largest entry of its postings. Counted
+from the sum of all lows, every term adds between nothing and its range, as in MaxScore proper.
+
+Each query orders its terms by range. Its non-essential terms are the longest tail whose ranges together can't lift a
+candidate to the query's threshold; the terms before it are essential. The postings of essential terms are traversed
+for every candidate, the others are probed, a few at a time, for the candidates that are still competitive: those
+whose score so far and the ranges still open reach the threshold. Thresholds start at the k-th best score among
+``SEEDS`` rows, found in a pass of its own and shared by all shards, and rise with the best of each shard. Each shard
+hands on its k best a query, and the shards are merged by rank.
 
 Work is laid out as (query block, shard) tasks: candidates go to a shard by hash and meet each block of the stated query
 set there. No task holds more than a block and a shard, whatever the number of equal vectors.
 
-Defined cases: vectors null or with null or non-finite components take no part; rows repeated with the same id and
-vector count once; a query meets every row of another id; vectors of different lengths score over the shorter one's
-components; fewer candidates than k give fewer rows; ties go to the smaller id; an empty table gives no rows.
+Defined cases: vectors null or with null or non-finite components take no part; each row is a candidate and, where it is
+asked for, a query of its own, which meets every row but itself, so rows that repeat an id or a vector all count; vectors
+of different lengths score over the shorter one's components; fewer candidates than k give fewer rows; ties go to the
+smaller id; an empty table gives no rows; extra columns are left alone. Scores are exact up to 2**53.
 """
 
 from __future__ import annotations
@@ -24,85 +29,97 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, staged
 
 #: Vectors of one shard and queries of one block, about.
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
-#: Queries that are searched together, terms of one step, and the share of candidates that is worth probing one by one.
-TOGETHER, STEP, FEW = 64, 8, 0.05
+#: Rows whose scores give the thresholds to start with, and terms that are probed in one step.
+SEEDS, STEP = 2048, 8
+
 
+def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row, or minus infinity where there are fewer."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
 
-def block_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of the k best candidates of each query, ties to the smaller id, by MaxScore.
 
-    Candidates must be in ascending order of id.
+def best_of(q: np.ndarray, own: int, theta: float, c: np.ndarray, c_rows: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates, scores) of the k best for one query, best first; ``c`` has a row for each term and a column for each candidate.
+
+    Candidates must be in ascending order of id. ``own`` is the query's own row, ``theta`` a score that k other rows reach.
     """
-    dims = q.shape[1]
-    high, low = c.max(axis=0), c.min(axis=0)
-    bound = np.maximum(q * high, q * low)  # the most that each term adds, by query
-    order = np.argsort(-(np.abs(q).sum(axis=0) * np.maximum(np.abs(high), np.abs(low))), kind="stable")
-    rest = np.zeros((len(q), dims + 1))
-    rest[:, :-1] = np.cumsum(bound[:, order[::-1]], axis=1)[:, ::-1]
-    # thresholds to start with: the k-th best among the first candidates, scored in full (one more, as one may be its own)
-    head = min(len(c), max(4 * (k + 1), 256))
-    first = q @ c[:head].T
-    first[q_ids[:, None] == c_ids[None, :head]] = -np.inf
-    theta = np.partition(first, head - k, axis=1)[:, head - k] if head > k else np.full(len(q), -np.inf)
-    # essential terms: postings are traversed for all candidates until few of them are competitive
-    apart = q_ids[:, None] != c_ids[None, :]
-    partial, at = np.zeros((len(q), len(c))), 0
-    while at < dims:
-        terms = order[at : at + STEP]
-        partial += q[:, terms] @ c[:, terms].T
-        at = min(at + STEP, dims)
-        live = apart & (partial + rest[:, at][:, None] >= theta[:, None])
-        if live.mean() < FEW:
-            break
-    qi, ci = np.nonzero(live)
-    score = partial[qi, ci]
-    for at in range(at, dims, STEP):  # probe the others, a few terms at a time, while competitive
+    most, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
+    order = np.argsort(-(most - least), kind="stable")
+    base = least.sum()
+    # what the terms from each place on can add together, above their least
+    open_range = np.zeros(len(q) + 1)
+    open_range[:-1] = np.cumsum((most - least)[order][::-1])[::-1]
+    essential = int(np.argmax(base + open_range < theta)) if base + open_range[-1] < theta else len(q)
+    if essential == 0 and len(q) and base + open_range[0] < theta:
+        return np.zeros(0, np.int64), np.zeros(0)
+    terms = order[:essential]
+    score = base + (q[terms] @ c[terms] - least[terms].sum())
+    on = np.flatnonzero((score + open_range[essential] >= theta) & (c_rows != own))
+    score = score[on]
+    for at in range(essential, len(q), STEP):
         terms = order[at : at + STEP]
-        score = score + np.einsum("ij,ij->i", q[:, terms][qi], c[:, terms][ci])
-        on = score + rest[qi, min(at + STEP, dims)] >= theta[qi]
-        qi, ci, score = qi[on], ci[on], score[on]
-    best = np.lexsort((ci, -score, qi))
-    qi, ci, score = qi[best], ci[best], score[best]
-    start = np.searchsorted(qi, np.arange(len(q)))
-    keep = np.arange(len(qi)) - start[qi] < k
-    return qi[keep], ci[keep], score[keep]
+        score = score + (q[terms] @ c[np.ix_(terms, on)] - least[terms].sum())
+        # a candidate's score so far is a bound from below, so the k-th best raises the threshold
+        if len(on) > k:
+            theta = max(theta, float(np.partition(score, len(on) - k)[len(on) - k]))
+        live = score + open_range[min(at + STEP, len(q))] >= theta
+        on, score = on[live], score[live]
+    best = np.lexsort((on, -score))[:k]
+    return on[best], score[best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``vectors`` (vec_id, vector array<long>); ``is_query`` marks the stated query set."""
-    vectors = vectors.dropDuplicates(["vec_id", "vector"])
-    total, asked = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    vectors = staged(vectors.select("vec_id", "vector", is_query.alias("asked")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    total, asked = vectors.agg(F.count("*"), F.count_if("asked")).first()
     n_shards, n_blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows))
-    part = lambda salt, n: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.lit(n)).cast("int")
+    part = lambda salt, n: F.pmod(F.xxhash64(F.col("row"), F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = vectors.filter(is_query).select("vec_id", "vector", part(1, n_blocks).alias("block"), every(n_shards).alias("shard"))
-    candidates = vectors.select("vec_id", "vector", part(2, n_shards).alias("shard"), every(n_blocks).alias("block"))
+    again = lambda name: F.col(name).alias(name)  # noqa: E731  the two sides of a cogroup must not share a column
+    queries = vectors.filter("asked").select("row", "vec_id", "vector", part(1, n_blocks).alias("block"))
+    seeds = vectors.orderBy(F.xxhash64("row", F.lit(3))).limit(SEEDS).select(again("row"), again("vec_id"), again("vector"), every(n_blocks).alias("block"))
+    candidates = vectors.select(again("row"), again("vec_id"), again("vector"), part(2, n_shards).alias("shard"), every(n_blocks).alias("block"))
 
-    def matrix(pdf: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(pdf: pd.DataFrame, dims: int) -> np.ndarray:
         out = np.zeros((len(pdf), dims))
         for i, v in enumerate(pdf["vector"]):
             out[i, : len(v)] = v
-        return out, pdf["vec_id"].to_numpy(np.int64)
+        return out
 
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    def first_thresholds(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q):
+            return pd.DataFrame({"row": [], "theta": []}).astype({"row": "int64", "theta": "float64"})
         dims = max(map(len, [*q["vector"], *c["vector"]]))
-        c = c.sort_values("vec_id", kind="stable")
-        (qm, q_ids), (cm, c_ids) = matrix(q, dims), matrix(c, dims)
-        parts = []
-        for at in range(0, len(q), TOGETHER):
-            qi, ci, score = block_top(qm[at : at + TOGETHER], q_ids[at : at + TOGETHER], cm, c_ids, k)
-            parts.append(pd.DataFrame({"query_id": q_ids[at + qi], "vec_id": c_ids[ci], "score": score.astype(np.int64)}))
+        c_rows, seen = c["row"].to_numpy(), matrix(c, dims).T
+        thetas = []
+        for at in range(0, len(q), 256):
+            scores = matrix(q.iloc[at : at + 256], dims) @ seen
+            scores[q["row"].to_numpy()[at : at + 256, None] == c_rows[None, :]] = -np.inf
+            thetas.append(kth_best(scores, k))
+        return pd.DataFrame({"row": q["row"], "theta": np.concatenate(thetas)})
+
+    found = queries.groupBy("block").cogroup(seeds.groupBy("block")).applyInPandas(first_thresholds, "row long, theta double")
+    queries = queries.join(found, "row").withColumn("shard", every(n_shards))
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")]
+        if len(q) and len(c):
+            dims = max(map(len, [*q["vector"], *c["vector"]]))
+            c = c.sort_values("vec_id", kind="stable")
+            c_rows, c_ids, postings = c["row"].to_numpy(), c["vec_id"].to_numpy(), np.ascontiguousarray(matrix(c, dims).T)
+            high, low = postings.max(axis=1), postings.min(axis=1)
+            for query, row, query_id, theta in zip(matrix(q, dims), q["row"], q["vec_id"], q["theta"], strict=True):
+                ci, score = best_of(query, row, theta, postings, c_rows, high, low, k)
+                parts.append(pd.DataFrame({"query": row, "query_id": query_id, "vec_id": c_ids[ci], "score": score.astype(np.int64)}))
         return pd.concat(parts)
 
     key = ["block", "shard"]
-    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -116,12 +133,12 @@ def op6_maxscore_top20(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS vec FROM embeddings
+  SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.nr, q.vec_id AS query_id, c.vec_id,
          list_dot_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.nr <> c.nr
+), r AS (SELECT *, (row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
