@@ -6,6 +6,7 @@ driver can read it, so a lost executor loses nothing that a finished step has wr
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,14 @@ LOWER = UPPER.lower()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of the session; a temporary one only where the session names none."""
+    """The shared scratch folder of the session; a temporary one where a local session names none.
+
+    A cluster must name one: a folder of the driver's machine would take in nothing that executors write.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodewatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -1,15 +1,13 @@
 """Quality rules: word and line counts of a text, and lines that recur over the documents of a host.
 
-Normalised lines (white space at the ends stripped, lower case, digits as 0) are hashed, and the distinct document
-contents that hold a line are counted per host: exact copies count once, so copying a document does not make boilerplate
-of its lines. A line above the host's limit is removed; a document left with less than a share of its words is depleted
-and rejected. The limit is ``least_docs`` contents or ``share`` of the host's contents, whichever is more. So a host has
-at most (lines of a document on average) / ``share`` such lines.
+Normalised lines (white space at the ends stripped, lower case, digits as 0) are hashed, and the distinct documents that
+hold a line are counted per host. A line found in more than ``most_docs`` documents of a host, a number that doesn't grow
+with the host, is removed from all of them; a document left with less than a share of its words is depleted and rejected.
 
 All counting stays in built-in functions. The counts of a text are folded over arrays of its own words, with sorts
 instead of look-ups, so long texts cost n log n.
 
-Defined cases: null text has no words; null hosts are one host; an empty text fails the base rules; repeated rows are
+Defined cases: null text has no words; null hosts are one host and null ids one document; an empty text fails the base rules; repeated rows are
 judged one by one; an empty table gives no rows; extra columns are left alone.
 """
 
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, pick, staged
 
 SYMBOLS = "[#*$%&|<>]"
-LEAST_DOCS, SHARE, REMAINDER = 20, 0.05, 0.5
+MOST_DOCS, REMAINDER = 20, 0.5
 
 
 def words(text: Column) -> Column:
@@ -56,7 +54,7 @@ def normalised(line: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Each row's counts, its host, a hash of its content and ``lines``: the hashes and words of its lines that have words."""
+    """Each row's counts, its host and ``lines``: the hashes and words of its lines that have words."""
     rows = pick(docs, "doc_id", "text", "source").select("doc_id", F.col("source").cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"words": words(F.col("text")), "full_lines": F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE_CLASS}]")))})
     rows = rows.withColumns({"n": F.size("words"), "sorted": window_places(F.col("words"), F.size("words"))})
@@ -65,7 +63,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.xxhash64(normalised(x)).alias("h1"), F.xxhash64(F.lit(1), normalised(x)).alias("h2"), F.regexp_count(x, F.lit(f"[^{SPACE_CLASS}]+")).alias("words")
     )
     return rows.select(
-        "doc_id", "host", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"),
+        "doc_id", "host",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -75,21 +73,17 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(rows: DataFrame, least_docs: int, share: float) -> DataFrame:
-    """(host, h1, h2) of the lines above the limit of their host."""
-    content = ["host", "c1", "c2"]
-    hosts = rows.select(*content).distinct().groupBy("host").agg(F.count("*").alias("of"))
-    lines = rows.select(*content, F.explode("lines").alias("line")).select(*content, "line.h1", "line.h2").distinct()
-    lines = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    hosts = hosts.withColumnRenamed("host", "of_host")
-    limit = F.greatest(F.lit(float(least_docs)), F.col("of") * share)
-    return lines.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("n") > limit).select("host", "h1", "h2")
+def frequent_lines(rows: DataFrame, most_docs: int) -> DataFrame:
+    """(host, h1, h2) of the lines found in more than ``most_docs`` documents of their host."""
+    lines = rows.select("host", "doc_id", F.explode("lines").alias("line")).select("host", "doc_id", "line.h1", "line.h2").distinct()
+    return lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > most_docs).select("host", "h1", "h2")
 
 
-def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, remainder: float = REMAINDER) -> DataFrame:
+def judge(docs: DataFrame, most_docs: int = MOST_DOCS, remainder: float = REMAINDER) -> DataFrame:
     """Each row's counts, ``base_failed``, ``n_removed`` (words in removed lines) and ``kept``."""
     rows = staged(measures(docs).withColumn("rid", F.monotonically_increasing_id()), "measures")
-    frequent = frequent_lines(rows, least_docs, share).withColumnsRenamed({"host": "f_host", "h1": "f_h1", "h2": "f_h2"})
+    # written, so that adaptive execution may split a line that very many documents hold
+    frequent = staged(frequent_lines(rows, most_docs), "frequent").withColumnsRenamed({"host": "f_host", "h1": "f_h1", "h2": "f_h2"})
     lines = rows.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", "line.*")
     on = F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h1") == F.col("f_h1")) & (F.col("h2") == F.col("f_h2"))
     removed = lines.join(frequent, on).groupBy("rid").agg(F.sum("words").alias("n_removed"))
@@ -119,10 +113,8 @@ WITH d AS (
   SELECT doc_id, host, text, line, regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[0-9]', '0', 'g') AS key,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), h AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host
 ), f AS (
-  SELECT l.host, l.key FROM l JOIN h ON l.host IS NOT DISTINCT FROM h.host GROUP BY l.host, l.key, h.total
-  HAVING count(DISTINCT l.text) > greatest(20, h.total * 0.05)
+  SELECT host, key FROM l GROUP BY host, key HAVING count(DISTINCT doc_id) > 20
 ), x AS (
   SELECT l.doc_id, count(*) - count(DISTINCT l.line) AS n_dup_lines, coalesce(sum(words) FILTER (f.key IS NOT NULL), 0) AS n_removed
   FROM l LEFT JOIN f ON l.key = f.key AND l.host IS NOT DISTINCT FROM f.host GROUP BY l.doc_id

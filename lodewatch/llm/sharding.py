@@ -2,7 +2,8 @@
 
 Several metadata columns are quantised to a few bits each, the cells are numbered along a Hilbert curve, rows are
 sorted by that number and the sorted table is cut into runs. Rows that are near in all the columns come to lie in few
-runs, so a filter on any of them prunes most files.
+runs, so a filter on any of them prunes most files. Numbers are quantised at approximate quantiles of the rows, strings
+at even ranks of their distinct values, compared whole, so a common prefix costs nothing.
 
 The sort is one range partitioning with the id as last key: a hot cell is split like any other range. A row's place in
 the whole order is its place in its partition plus the rows of the partitions before it, a table of one row for each
@@ -65,30 +66,33 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(k) for k in reversed(range(bits))]), start, step, lambda a: a["place"])
 
 
-def sort_number(kind: str, value: Column) -> Column:
-    """A double that orders like the column: the number itself, or the leading six bytes of a string."""
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return value.cast("double")
+def bounds_of(rows: DataFrame, dim: str, bits: int) -> list:
+    """Ascending values that cut ``dim`` into at most ``2**bits`` cells; as many numbers or whole strings reach the driver."""
+    cells = 1 << bits
+    if dict(rows.dtypes)[dim] in ("string", "binary"):
+        values = rows.select(dim).filter(F.col(dim).isNotNull()).distinct().repartitionByRange(cells, dim)
+        # the largest value of each range but the last
+        found = sorted(r[0] for r in values.groupBy(F.spark_partition_id()).agg(F.max(dim)).select(f"max({dim})").collect())
+        return found[:-1]
+    shares = [k / cells for k in range(1, cells)]
+    return sorted(set(rows.agg(F.percentile_approx(F.col(dim).cast("double"), shares, 1000)).first()[0] or []))
 
 
-def quantised(value: Column, bounds: list[float]) -> Column:
+def quantised(value: Column, kind: str, bounds: list) -> Column:
     """How many of the ascending ``bounds`` lie below ``value``; null is 0."""
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < value)), F.lit(0))
+    value = value if kind in ("string", "binary") else value.cast("double")
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value)), F.lit(0))
 
 
 def along_curve(rows: DataFrame, dims: list[str], bits: int = 5, tie: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``curve`` (the Hilbert index) and ``place`` (0 and up in curve order, then by ``tie``), written once.
 
-    Bounds of the quantisation are approximate quantiles: ``2**bits - 1`` numbers for each dimension.
+    Bounds of the quantisation are ``2**bits - 1`` values for each dimension.
     """
     spark, kinds = rows.sparkSession, dict(rows.dtypes)
-    numbers = {d: sort_number(kinds[d], F.col(d)) for d in dims}
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(numbers[d], shares, 1000).alias(f"b{i}") for i, d in enumerate(dims)]).first()
-    axes = [quantised(numbers[d], sorted(set(found[i] or []))) for i, d in enumerate(dims)]
+    axes = [quantised(F.col(d), kinds[d], bounds_of(rows, d, bits)) for d in dims]
     cells = [f"axis{i}" for i in range(len(dims))]
     rows = rows.withColumns(dict(zip(cells, axes, strict=True)))
     rows = rows.withColumn("curve", hilbert_index([F.col(c) for c in cells], bits)).drop(*cells)
@@ -119,5 +123,5 @@ def op7_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source", "lang")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     rows = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    out = shards(rows, ["source", "size", "doc_id"], 24, tie=("text_crc32", "size", "doc_id"))
+    out = shards(rows, ["source", "lang", "size", "doc_id"], 24, tie=("text_crc32", "size", "doc_id"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -4,11 +4,13 @@ Features are the distinct words, pairs of neighbours and pairs with one word bet
 Each coordinate has its own learning rate, and the L1 term leaves most weights at zero, so the model is a short list of
 places and weights: at most ``DIMENSIONS`` of them, and in practice a few thousand, which is what is broadcast.
 
-The model is fitted on a sample of at most ``SAMPLE_ROWS`` labelled rows, by hash of the id. The sample is dealt to
-shards of about ``SHARD_ROWS`` rows, each is learned by itself, and the weights are averaged. Scoring covers all rows.
+The model is fitted on a sample of at most ``SAMPLE_ROWS`` labelled ids, by hash of the id, with one text each. The sample
+is dealt to shards of about ``SHARD_ROWS`` rows, each is learned by itself, and the weights are averaged. A shard whose
+rows have more than ``SHARD_FEATURES`` features is learned in several parts, so what a task holds is bounded however
+long texts are. Scoring covers all rows.
 
 Defined cases: null or empty text is scored by the bias alone; ids that are labelled twice are toxic if one label says
-so; null labels are left out; without any labelled row all scores are 0; repeated rows are scored one by one; an empty
+so; of several texts of a labelled id the one of the least hash is learned; null labels are left out; without any labelled row all scores are 0; repeated rows are scored one by one; an empty
 table gives no rows; extra columns are left alone.
 """
 
@@ -28,8 +30,8 @@ from .wordhash import NOT_ALNUM, mixed, small_batches, word_hashes
 
 DIMENSIONS = 1 << 21
 SAMPLE_ROWS, SHARD_ROWS, EPOCHS = 1 << 16, 1 << 14, 4
-#: A feature is learned if so many rows of the shard have it.
-LEAST_ROWS = 5
+#: Features, four bytes each, that a task holds before it learns what it has.
+SHARD_FEATURES = 1 << 25
 #: Texts of few rows are passed over more often: at least so many steps a shard.
 LEAST_STEPS = 6000
 
@@ -74,10 +76,6 @@ def learn(rows: list[tuple[np.ndarray, int]], rates: Rates, steps: int) -> tuple
         w = (np.sign(zi) * rates.l1 - zi) / ((rates.beta + np.sqrt(ni)) / rates.alpha + rates.l2)
         return np.where(np.abs(zi) <= rates.l1, 0.0, w)
 
-    held = np.zeros(DIMENSIONS, np.int32)
-    for at, _ in rows:
-        held[at] += 1
-    rows = [(at[(held[at] >= LEAST_ROWS) | (at == 0)], label) for at, label in rows]
     order = np.random.default_rng(7)
     done = 0
     while done < steps and rows:
@@ -99,7 +97,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, shard_features: int = SHARD_FEATURES) -> Model:
     """A model from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text) that aren't held out."""
     short_batches(docs.sparkSession)
     marked = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -110,13 +108,21 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
     marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < math.ceil(share * scale)).orderBy(F.xxhash64("doc_id")).limit(sample_rows)
     texts = pick(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
     # at most sample_rows pairs of numbers are broadcast
-    rows = texts.join(F.broadcast(marked), "doc_id").select((F.col("toxic") > 0).cast("int").alias("label"), "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    rows = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select((F.col("toxic") > 0).cast("int").alias("label"), "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
     shards = max(1, -(-min(total, sample_rows) // shard_rows))
     # by number, as a hash of so few shards would put some of them into one task
     rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples: dict[int, list[tuple[np.ndarray, int]]] = {}
+        held = 0
+
+        def learned_parts() -> Iterator[pa.RecordBatch]:
+            for shard, own in examples.items():
+                at, w = learn(own, rates, max(LEAST_STEPS, EPOCHS * len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(at) + 1), pa.int32()), pa.array([-1, *at], pa.int64()), pa.array([float(len(own)), *w], pa.float64())], ["shard", "place", "weight"])
+
         for batch in small_batches(batches):
             owner, place = feature_places(batch.column(1))
             order = np.argsort(owner, kind="stable")
@@ -124,9 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
             for i, (label, shard) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 own = np.unique(place[order[ends[i] : ends[i + 1]]])
                 examples.setdefault(shard, []).append((np.concatenate([[0], own]).astype(np.int32), label))
-        for shard, own in examples.items():
-            at, w = learn(own, rates, max(LEAST_STEPS, EPOCHS * len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(at) + 1), pa.int32()), pa.array([-1, *at], pa.int64()), pa.array([float(len(own)), *w], pa.float64())], ["shard", "place", "weight"])
+                held += len(own)
+            if held > shard_features:
+                yield from learned_parts()
+                examples.clear()
+                held = 0
+        yield from learned_parts()
 
     learned = staged(rows.select("label", "text", "h", "shard").mapInArrow(run, "shard int, place long, weight double"), "weights")
     used, n_rows = learned.filter("place = -1").agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
