@@ -35,6 +35,8 @@ from .common import pick, staged
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 #: Rows whose scores give the thresholds to start with, and terms that are probed in one step.
 SEEDS, STEP = 2048, 8
+#: Queries whose essential postings are traversed together.
+TOGETHER = 64
 
 
 def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -42,34 +44,42 @@ def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
 
 
-def best_of(q: np.ndarray, own: int, theta: float, c: np.ndarray, c_rows: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(candidates, scores) of the k best for one query, best first; ``c`` has a row for each term and a column for each candidate.
+def best_of(q: np.ndarray, own: np.ndarray, theta: np.ndarray, c: np.ndarray, c_rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, candidates, scores) of the k best for each query, best first; ``c`` has a row for each term and a column for each candidate.
 
-    Candidates must be in ascending order of id. ``own`` is the query's own row, ``theta`` a score that k other rows reach.
+    Candidates must be in ascending order of id. ``own`` are the queries' own rows, ``theta`` scores that k other rows reach.
     """
+    n, dims = q.shape
+    high, low = c.max(axis=1), c.min(axis=1)
     most, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
-    order = np.argsort(-(most - least), kind="stable")
-    base = least.sum()
+    order = np.argsort(least - most, axis=1, kind="stable")
+    base = least.sum(axis=1)
     # what the terms from each place on can add together, above their least
-    open_range = np.zeros(len(q) + 1)
-    open_range[:-1] = np.cumsum((most - least)[order][::-1])[::-1]
-    essential = int(np.argmax(base + open_range < theta)) if base + open_range[-1] < theta else len(q)
-    if essential == 0 and len(q) and base + open_range[0] < theta:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms = order[:essential]
-    score = base + (q[terms] @ c[terms] - least[terms].sum())
-    on = np.flatnonzero((score + open_range[essential] >= theta) & (c_rows != own))
-    score = score[on]
-    for at in range(essential, len(q), STEP):
-        terms = order[at : at + STEP]
-        score = score + (q[terms] @ c[np.ix_(terms, on)] - least[terms].sum())
-        # a candidate's score so far is a bound from below, so the k-th best raises the threshold
-        if len(on) > k:
-            theta = max(theta, float(np.partition(score, len(on) - k)[len(on) - k]))
-        live = score + open_range[min(at + STEP, len(q))] >= theta
-        on, score = on[live], score[live]
-    best = np.lexsort((on, -score))[:k]
-    return on[best], score[best]
+    open_range = np.zeros((n, dims + 1))
+    open_range[:, :-1] = np.cumsum(np.take_along_axis(most - least, order, axis=1)[:, ::-1], axis=1)[:, ::-1]
+    out_of_reach = base[:, None] + open_range < theta[:, None]
+    essential = np.where(out_of_reach.any(axis=1), out_of_reach.argmax(axis=1), dims)
+    # essential postings are traversed for all candidates, those of several queries in one product
+    on_essential = np.zeros((n, dims), bool)
+    np.put_along_axis(on_essential, order, np.arange(dims) < essential[:, None], axis=1)
+    scores = np.where(on_essential, q, 0.0) @ c + (base - np.where(on_essential, least, 0.0).sum(axis=1))[:, None]
+    reach = scores + open_range[np.arange(n), essential][:, None] >= theta[:, None]
+    reach &= own[:, None] != c_rows[None, :]
+    for i in range(n):
+        on = np.flatnonzero(reach[i])
+        score, bar = scores[i, on], theta[i]
+        for at in range(int(essential[i]), dims, STEP):  # the others are probed, a few at a time, while competitive
+            terms = order[i, at : at + STEP]
+            # whole postings while most candidates are competitive, single entries from then on
+            added = (q[i, terms] @ c[terms])[on] if 4 * len(on) > len(c_rows) else q[i, terms] @ c[np.ix_(terms, on)]
+            score = score + (added - least[i, terms].sum())
+            # a score so far is a bound from below, so the k-th best raises the threshold
+            if len(on) > k:
+                bar = max(bar, float(np.partition(score, len(on) - k)[len(on) - k]))
+            live = score + open_range[i, min(at + STEP, dims)] >= bar
+            on, score = on[live], score[live]
+        best = np.lexsort((on, -score))[:k]
+        yield i, on[best], score[best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,10 +121,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
             dims = max(map(len, [*q["vector"], *c["vector"]]))
             c = c.sort_values("vec_id", kind="stable")
             c_rows, c_ids, postings = c["row"].to_numpy(), c["vec_id"].to_numpy(), np.ascontiguousarray(matrix(c, dims).T)
-            high, low = postings.max(axis=1), postings.min(axis=1)
-            for query, row, query_id, theta in zip(matrix(q, dims), q["row"], q["vec_id"], q["theta"], strict=True):
-                ci, score = best_of(query, row, theta, postings, c_rows, high, low, k)
-                parts.append(pd.DataFrame({"query": row, "query_id": query_id, "vec_id": c_ids[ci], "score": score.astype(np.int64)}))
+            for at in range(0, len(q), TOGETHER):
+                part = q.iloc[at : at + TOGETHER]
+                ids, rows = part["vec_id"].to_numpy(), part["row"].to_numpy()
+                for i, ci, score in best_of(matrix(part, dims), rows, part["theta"].to_numpy(), postings, c_rows, k):
+                    parts.append(pd.DataFrame({"query": rows[i], "query_id": ids[i], "vec_id": c_ids[ci], "score": score.astype(np.int64)}))
         return pd.concat(parts)
 
     key = ["block", "shard"]

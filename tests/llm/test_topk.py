@@ -34,14 +34,13 @@ def test_pruned_search_of_one_query_is_exact(seed):
     rng = np.random.default_rng(seed)
     c = rng.integers(-40, 40, (16, 500)).astype(float)
     c[:, 250:] = c[:, :250]
-    high, low, rows = c.max(axis=1), c.min(axis=1), np.arange(500)
-    for own in range(0, 500, 37):
-        scores = c[:, own] @ c
-        scores[own] = -np.inf
-        order = np.lexsort((rows, -scores))[:9]
-        for theta in (-np.inf, float(np.sort(scores)[-300]), float(scores[order[-1]])):
-            at, score = topk.best_of(c[:, own], own, theta, c, rows, high, low, 9)
-            assert at.tolist() == order.tolist() and score.tolist() == scores[order].tolist()
+    rows, own = np.arange(500), np.arange(0, 500, 37)
+    scores = c[:, own].T @ c
+    scores[np.arange(len(own)), own] = -np.inf
+    orders = [np.lexsort((rows, -x))[:9] for x in scores]
+    for theta in (np.full(len(own), -np.inf), np.sort(scores, axis=1)[:, -300], np.array([x[o[-1]] for x, o in zip(scores, orders, strict=True)])):
+        for i, at, score in topk.best_of(c[:, own].T, own, theta, c, rows, 9):
+            assert at.tolist() == orders[i].tolist() and score.tolist() == scores[i, orders[i]].tolist()
 
 
 def test_query_on_awkward_vectors(spark, tmp_path):
