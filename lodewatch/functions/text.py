@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.catalog import java_pattern
+from .patterns import java_pattern, required
 
 # fixed values: shapes of secrets
 SECRETS = (
@@ -15,14 +17,19 @@ SECRETS = (
     r"(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*[\"']?[^\"'\s]{8,}",
     r"\b[A-Za-z0-9+/]{32,}={0,2}\b",
 )
+#: What the last shape, which has no word of its own, can't do without.
+LONG_RUN = "[A-Za-z0-9+/]{32}"
 # fixed values: path segments and base names of documentation
 DOCS_SEGMENTS = ("docs", "documentation", "examples", "reference", "references", "samples", "assets", "__tests__")
 DOCS_NAME = r"(?i)(?:^(?:readme|changelog|threat[-_]?model)\b|(?:\.test|\.spec)\.[^.]+$|^test[_-]|(?:^|[-_])(?:fixture|sample|example|asset)(?:[-_.]|$))"
 
 
 def redacted(text: Column) -> Column:
+    """The text with ``[REDACTED]`` in place of secrets. Texts without a word that a pattern requires are left as they are."""
     for pattern in SECRETS:
-        text = F.regexp_replace(text, java_pattern(pattern), "[REDACTED]")
+        words = required(pattern)
+        may = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words]) if words else F.regexp_like(text, F.lit(LONG_RUN))
+        text = F.when(may, F.regexp_replace(text, java_pattern(pattern), "[REDACTED]")).otherwise(text)
     return text
 
 

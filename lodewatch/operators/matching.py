@@ -1,18 +1,23 @@
-"""Rules matched over whole texts; matches mapped to line and column, one finding a rule and line."""
+"""Rules matched over whole texts; matches mapped to line and column, one finding a rule and line.
+
+A file meets the patterns of its name that its text may match: a search for the words that a pattern requires leaves few.
+Views are made for these files alone. All of this is one narrow stage; only findings are shuffled.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.catalog import RULES, Rule, java_pattern
+from ..functions.patterns import SPACE_CHARS, java_pattern, recurses, required
+from ..functions.views import VIEWS, views
+from ..plans.catalog import RULES, Rule
 
 #: Private-use characters that mark the starts of matches and the ends of groups; taken out of texts first.
 MARK, GROUP = "\ue000", "\ue001"
-#: Columns of the views that rules name.
-VIEWS = {"code": "code_view", "docs": "docs_view", "outbound": "outbound_view"}
 
 
 def matches_glob(name: Column, glob: str) -> Column:
@@ -26,40 +31,85 @@ def applies(name: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, [matches_glob(name, g) for g in rule.names])
 
 
-def _hit(rule: Rule, nr: int, pattern: str, text: Column) -> Column:
-    """The hits of one pattern: the text cut before each match. A match with a group ``finding`` is preceded by that group."""
-    java, found = java_pattern(pattern), "(?<finding>" in pattern
-    pieces = F.split(F.regexp_replace(text, java, MARK + ("${finding}" + GROUP if found else "") + "$0"), MARK)
-    cut = lambda p, n: F.element_at(F.split(p, GROUP), n)
-    shifts = F.transform(pieces, lambda p: F.instr(cut(p, -1), cut(p, 1)) - 1) if found else F.lit(None).cast("array<int>")
-    return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), F.lit(nr).alias("pattern_idx"), (F.transform(pieces, lambda p: cut(p, -1)) if found else pieces).alias("pieces"), shifts.alias("shifts"))
+PATTERNS = "array<struct<rule_id: string, severity: string, message: string, pattern_idx: int, view: string, pattern: string, placed: boolean, words: array<string>, globs: array<struct<head: string, tail: string, whole: boolean>>>>"
+
+
+@lru_cache(maxsize=8)
+def _rows(rules: tuple[Rule, ...]) -> str:
+    """All patterns as JSON. A pattern on which Java would recurse over the text is refused."""
+    rows = []
+    for rule in rules:
+        globs = [{"head": g.split("*", 1)[0], "tail": g.rsplit("*", 1)[-1], "whole": "*" not in g} for g in rule.names]
+        for i, p in enumerate(rule.patterns):
+            if recurses(p):
+                raise ValueError(f"pattern {i} of {rule.rule_id} repeats a group without bound; make the repeat possessive")
+            rows.append({"rule_id": rule.rule_id, "severity": rule.severity, "message": rule.message, "pattern_idx": i, "view": rule.view, "pattern": java_pattern(p), "placed": "(?<finding>" in p, "words": required(p), "globs": globs})
+    return json.dumps(rows)
+
 
+def _patterns(rules: tuple[Rule, ...]) -> Column:
+    """One constant; building it column by column would take longer than matching."""
+    return F.from_json(F.lit(_rows(rules)), PATTERNS)
 
-def match_all(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(target_id, path, rule_id, severity, message, pattern_idx, line, column, snippet) of each match in ``files`` (target_id, path, content).
 
-    A rule reads the view that it names where ``files`` has it (see ``functions.views``), else the content. Patterns are
-    literals of one expression, so each is compiled once and texts don't leave the JVM. Texts that no pattern hits are
-    dropped before anything is exploded. Null content holds no match.
+def candidates(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(target_id, path, content, patterns): each file that may match, with the patterns that may match it.
+
+    Masked text holds no word that the whole text doesn't hold, so the whole text decides. A pattern that requires no
+    word is tried.
     """
-    clean = lambda c: F.translate(F.coalesce(c, F.lit("")), MARK + GROUP, "")
-    views = {v: c for v, c in VIEWS.items() if c in files.columns}
-    rows = files.select("target_id", "path", clean("content").alias("content"), *[clean(c).alias(c) for c in views.values()])
-    name = F.element_at(F.split("path", "/"), -1)
-    tests = []
-    for rule in rules:
-        text = F.col(views.get(rule.view, "content"))
-        tests += [F.when(applies(name, rule) & F.regexp_like(text, F.lit(java_pattern(p))), _hit(rule, i, p, text)) for i, p in enumerate(rule.patterns)]
-    rows = rows.withColumn("hit", F.explode(F.array_compact(F.array(*tests)))).select("target_id", "path", "content", "hit.*")
-    rows = rows.withColumn("nr", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)))
-    shift = F.coalesce(F.element_at("shifts", F.col("nr") + 1), F.lit(0))
-    before = F.concat(F.array_join(F.slice("pieces", 1, F.col("nr")), ""), F.substring(F.element_at("pieces", F.col("nr") + 1), F.lit(1), shift))
-    rows = rows.withColumn("before", before)
-    lines = F.split("before", "\n")
+    text = F.translate(F.coalesce("content", F.lit("")), MARK + GROUP, "")
+    # one row in an array, so that the text is made and lowered once and not for each word
+    bound = F.array(F.struct(text.alias("content"), F.lower(text).alias("lowered"), F.element_at(F.split("path", "/"), -1).alias("name")))
+
+    def of_file(t: Column) -> Column:
+        named = lambda g: F.when(g["whole"], t["name"] == g["head"]).otherwise(t["name"].startswith(g["head"]) & t["name"].endswith(g["tail"]))
+        held = lambda p: F.when(F.size(p["words"]) == 0, F.regexp_like(t["content"], p["pattern"])).otherwise(F.exists(p["words"], lambda w: t["lowered"].contains(w)))
+        fitting = F.filter(_patterns(rules), lambda p: F.when(F.exists(p["globs"], named), held(p)).otherwise(F.lit(False)))
+        return F.struct(t["content"].alias("content"), F.transform(fitting, lambda p: p.dropFields("words", "globs")).alias("patterns"))
+
+    found = F.filter(F.transform(bound, of_file), lambda x: F.size(x["patterns"]) > 0)
+    return files.select("target_id", "path", F.explode(found).alias("x")).select("target_id", "path", "x.content", "x.patterns")
+
+
+def _marked(text: Column, p: Column) -> Column:
+    """The text with ``MARK`` where each match is placed: at its start, or where the text of its group ``finding`` first stands in it."""
+    at_start = F.regexp_replace(text, p["pattern"], F.lit(MARK + "$0"))
+    pieces = F.split(F.regexp_replace(text, p["pattern"], F.lit(MARK + "${finding}" + GROUP + "$0")), MARK)
+
+    def placed(piece: Column) -> Column:
+        found, rest = F.substring_index(piece, GROUP, 1), F.substring_index(piece, GROUP, -1)
+        at = F.instr(rest, found)
+        return F.when(F.contains(piece, F.lit(GROUP)), F.concat(F.substring(rest, F.lit(1), at - 1), F.lit(MARK), F.substring(rest, at, F.length(rest)))).otherwise(piece)
+
+    return F.when(p["placed"], F.array_join(F.transform(pieces, placed), "")).otherwise(at_start)
+
+
+def match_all(files: DataFrame, rules: tuple[Rule, ...] = RULES, masked: bool = True) -> DataFrame:
+    """(target_id, path, rule_id, severity, message, pattern_idx, line, column, snippet): the first match of each pattern on each line of ``files`` (target_id, path, content).
+
+    A rule reads the view that it names, or with ``masked`` off the whole content. Views keep lines, so places carry over.
+    Null content holds no match; repeated files are matched one by one; extra columns are left alone.
+    """
+    rows = candidates(files, rules)
+    text = F.col("content")
+    if masked:
+        wanted = F.array_distinct(F.transform("patterns", lambda p: p["view"]))
+        rows = rows.withColumn("views", views(F.col("content"), F.col("path"), wanted))
+        for view in VIEWS:
+            text = F.when(F.col("p.view") == view, F.translate(F.col(f"views.{view}"), MARK + GROUP, "")).otherwise(text)
+    rows = rows.withColumn("p", F.explode("patterns"))
+
+    def hits(marked: Column) -> Column:
+        lines = F.arrays_zip(F.split(marked, "\n").alias("marked"), F.split("content", "\n").alias("own"))
+        lines = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x["marked"].alias("marked"), x["own"].alias("own")))
+        return F.when(F.contains(marked, F.lit(MARK)), F.filter(lines, lambda x: F.contains(x["marked"], F.lit(MARK))))
+
+    rows = rows.select("target_id", "path", "p", F.explode(F.element_at(F.transform(F.array(_marked(text, F.col("p"))), hits), 1)).alias("hit"))
     # columns count UTF-16 units
-    column = F.octet_length(F.encode(F.element_at(lines, -1), "UTF-16BE")) / 2 + 1
-    snippet = F.substring(F.trim(F.element_at(F.split("content", "\n"), F.size(lines))), 1, 120)
-    return rows.select("target_id", "path", "rule_id", "severity", "message", "pattern_idx", F.size(lines).alias("line"), column.cast("int").alias("column"), snippet.alias("snippet"))
+    column = F.octet_length(F.encode(F.substring_index("hit.marked", MARK, 1), "UTF-16BE")) / 2 + 1
+    snippet = F.substring(F.btrim("hit.own", F.lit(SPACE_CHARS)), 1, 120)
+    return rows.select("target_id", "path", "p.rule_id", "p.severity", "p.message", "p.pattern_idx", F.col("hit.line").alias("line"), column.cast("int").alias("column"), snippet.alias("snippet"))
 
 
 def first_per_line(matches: DataFrame) -> DataFrame:
@@ -70,6 +120,6 @@ def first_per_line(matches: DataFrame) -> DataFrame:
 
 def fingerprints(findings: DataFrame) -> DataFrame:
     """Findings with ``line_hash``, which names rule, file and line text, and counts equal ones."""
-    digest = F.substring(F.sha2(F.concat_ws("\u0000", "rule_id", "path", F.regexp_replace("snippet", r"\s+", " ")), 256), 1, 16)
+    digest = F.substring(F.sha2(F.concat_ws("\u0000", "rule_id", "path", F.regexp_replace("snippet", java_pattern(r"\s+"), " ")), 256), 1, 16)
     w = Window.partitionBy("digest").orderBy("line", "column")
     return findings.withColumn("digest", digest).withColumn("line_hash", F.concat_ws(":", "digest", F.row_number().over(w))).drop("digest")

@@ -11,6 +11,7 @@ from ..operators.reviews import compare_models, consensus, file_budget
 from ..operators.scoring import risk_order
 from .catalog import RULES
 from .queries import _findings_sql, _quoted, seeded_findings, seeded_summaries, viewed_findings, viewed_summaries
+from .seeds import seeded_files
 
 # Where documents stand, by remainder of the id.
 FOLDERS = ("skills", ".claude/plugins/cache/market/pack", ".codex/plugins/tools/skills", "x/plugins/marketplaces/m", ".cursor/plugins/kit", "v1.2.3", "deep/skills")
@@ -85,7 +86,7 @@ def f18_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f19_issues(spark: SparkSession, sf_dir: str, findings=seeded_findings) -> DataFrame:
     found = findings(spark, sf_dir)
-    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("target_id")).distinct()
+    known = seeded_files(spark, sf_dir).select("target_id").distinct()
     return top_issues(known.withColumn("allowlisted", F.lit(False)), found).select("target_id", "top_issue")
 
 

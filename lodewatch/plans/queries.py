@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.views import with_views
+from ..functions.patterns import SPACE_CHARS, portable, re2_pattern
 from ..functions.text import DOCS_NAME, DOCS_SEGMENTS, SECRETS, is_documentation, redacted
 from ..operators.dedupe import merge_equal, path_rank, split_ignored
 from ..operators.matching import fingerprints, first_per_line, match_all
 from ..operators.scoring import risk_order, run_summary, score_targets, severity_buckets
-from ..sources.files import EVERY, NAMES, SEEDS, seeded_files
-from .catalog import RULES, SEVERITIES
+from ..staging import staged
+from .catalog import FAIL_ALONE, PIPE_RULES, RULES, SAME_LINE, SEVERITIES, STORE_RULES
+from .seeds import EVERY, NAMES, SEEDS, TARGET_FILES, seeded_files
 
-#: Rules that SQL can match too, on whole texts.
-PORTABLE = tuple(r for r in RULES if r.portable)
+#: Rules with the patterns that SQL can match too, on whole texts.
+PORTABLE = tuple(replace(r, patterns=own) for r in RULES if (own := tuple(p for p in r.patterns if portable(p))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_per_line(match_all(seeded_files(spark, sf_dir), PORTABLE))
+    return first_per_line(match_all(seeded_files(spark, sf_dir), PORTABLE, masked=False))
 
 
 def summaries(spark: SparkSession, sf_dir: str, findings: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def seeded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def viewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over their views; without SQL, as views are lexers and Java's patterns look around."""
-    return first_per_line(match_all(with_views(seeded_files(spark, sf_dir))))
+    return first_per_line(match_all(seeded_files(spark, sf_dir)))
 
 
 def viewed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,8 @@ def viewed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_targets(scored: DataFrame) -> DataFrame:
-    return risk_order(scored).select("target_id", *SEVERITIES, "score", "verdict", "rank")
+    # written, as ranks are counted in two steps
+    return risk_order(staged(scored, "summaries")).select("target_id", *SEVERITIES, "score", "verdict", F.array_join("mandatory_fail", ",").alias("mandatory_fail"), "rank")
 
 
 def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,34 +105,57 @@ def _quoted(text: str) -> str:
 
 
 def _hits_sql(rule, nr: int, pattern: str) -> str:
-    name = "string_split(path, '/')[-1]"
+    name, pattern = "string_split(path, '/')[-1]", _quoted(re2_pattern(pattern))
     globs = [f"{name} = {_quoted(g)}" if "*" not in g else f"starts_with({name}, {_quoted(g.split('*', 1)[0])}) AND ends_with({name}, {_quoted(g.rsplit('*', 1)[1])})" for g in rule.names]
     return rf"""SELECT *, {_quoted(rule.rule_id)} AS rule_id, {_quoted(rule.severity)} AS severity, {_quoted(rule.message)} AS message, {nr} AS pattern_idx,
-    string_split(regexp_replace(content, {_quoted(pattern)}, chr(57344) || '\0', 'g'), chr(57344)) AS pieces
-  FROM files WHERE ({' OR '.join(globs)}) AND regexp_matches(content, {_quoted(pattern)})"""
+    string_split(regexp_replace(content, {pattern}, chr(57344) || '\0', 'g'), chr(57344)) AS pieces
+  FROM files WHERE ({' OR '.join(globs)}) AND regexp_matches(content, {pattern})"""
+
+
+def _first_of(ids: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN list_contains(ids, '{i}') THEN '{i}'" for i in ids) + " END"
 
 
 def _findings_sql() -> str:
     seeds = " ".join(f"WHEN {k} THEN chr(10) || {_quoted(line)}" for k, line in enumerate(SEEDS))
     names = ", ".join(map(_quoted, NAMES))
     hits = "\n  UNION ALL ".join(_hits_sql(r, i, p) for r in PORTABLE for i, p in enumerate(r.patterns))
+    spaces = " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS)
+    pairs = ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(SAME_LINE))
+    seq = "{'path': path, 'line': line, 'rule_id': rule_id}"
     return rf"""
 WITH files AS MATERIALIZED (
-  SELECT source AS target_id, doc_id::VARCHAR || '/' || ([{names}])[doc_id % {len(NAMES)} + 1] AS path, text || CASE doc_id % {EVERY} {seeds} ELSE '' END AS content FROM documents
+  SELECT 't' || (doc_id // {TARGET_FILES}) AS target_id, doc_id::VARCHAR || '/' || ([{names}])[doc_id % {len(NAMES)} + 1] AS path, text || CASE doc_id % {EVERY} {seeds} ELSE '' END AS content FROM documents
 ), hits AS ({hits}
 ), places AS (SELECT *, unnest(range(1, len(pieces))) AS nr FROM hits
 ), starts AS (SELECT *, string_split(array_to_string(pieces[1:nr], ''), chr(10)) AS before FROM places
 ), matches AS (
   SELECT target_id, path, rule_id, severity, message, pattern_idx, len(before)::INTEGER AS line, (length(before[-1]) + 1)::INTEGER AS col,
-         substr(trim(string_split(content, chr(10))[len(before)], ' '), 1, 120) AS snippet FROM starts
-), findings AS (
+         substr(trim(string_split(content, chr(10))[len(before)], {spaces}), 1, 120) AS snippet FROM starts
+), findings AS MATERIALIZED (
   SELECT target_id, path, rule_id, severity, message, line, col AS "column", snippet FROM matches
   QUALIFY row_number() OVER (PARTITION BY target_id, path, rule_id, line ORDER BY pattern_idx, col) = 1
 ), counts AS (
   SELECT t.target_id, {', '.join(f"count(DISTINCT CASE WHEN severity = '{s}' THEN rule_id END)::INTEGER AS {s}" for s in SEVERITIES)}
   FROM (SELECT DISTINCT target_id FROM files) t LEFT JOIN findings f ON t.target_id = f.target_id GROUP BY t.target_id
-), scored AS (SELECT *, greatest(0, 100 - 25 * critical - 10 * high - 3 * medium - low)::INTEGER AS score FROM counts
-), summaries AS (SELECT *, CASE WHEN score >= 85 THEN 'PASS' WHEN score >= 50 THEN 'REVIEW' ELSE 'FAIL' END AS verdict FROM scored)
+), together AS (
+  SELECT DISTINCT f.target_id, f.path, f.line, f.rule_id, arg_min(p.store, p.nr) AS store FROM findings f JOIN (VALUES {pairs}) p(rule_id, store, nr) ON f.rule_id = p.rule_id AND f.severity <> 'info'
+  JOIN findings s ON s.target_id = f.target_id AND s.path = f.path AND s.line = f.line AND s.rule_id = p.store GROUP BY ALL
+), same_line AS (
+  SELECT target_id, list_distinct(list(rule_id) || list(store)) AS pair FROM together GROUP BY target_id
+), facts AS (
+  SELECT target_id, list(DISTINCT rule_id) AS ids, arg_min(rule_id, {seq}) FILTER (starts_with(rule_id, 'NET-')) AS net, arg_min(rule_id, {seq}) FILTER (starts_with(rule_id, 'PI-') AND severity = 'critical') AS injection
+  FROM findings GROUP BY target_id
+), parts AS (SELECT *, {_first_of(PIPE_RULES)} AS pipe, {_first_of(STORE_RULES)} AS store FROM facts
+), forced AS (
+  SELECT target_id, array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: list_contains({list(FAIL_ALONE)!r}, x))
+    || CASE WHEN list_contains(ids, 'DEPS-REMOTE-IMPORT') AND pipe IS NOT NULL THEN ['DEPS-REMOTE-IMPORT', pipe] ELSE [] END
+    || CASE WHEN list_contains(ids, 'FS-CREDSTORE') AND net IS NOT NULL THEN ['FS-CREDSTORE', net] ELSE [] END
+    || CASE WHEN injection IS NOT NULL AND store IS NOT NULL THEN [injection, store] ELSE [] END || coalesce(pair, []))), ',') AS mandatory_fail
+  FROM parts LEFT JOIN same_line USING (target_id)
+), scored AS (
+  SELECT c.*, greatest(0, 100 - 25 * critical - 10 * high - 3 * medium - low)::INTEGER AS score, coalesce(mandatory_fail, '') AS mandatory_fail FROM counts c LEFT JOIN forced USING (target_id)
+), summaries AS (SELECT *, CASE WHEN mandatory_fail <> '' THEN 'FAIL' WHEN score >= 85 THEN 'PASS' WHEN score >= 50 THEN 'REVIEW' ELSE 'FAIL' END AS verdict FROM scored)
 """
 
 
@@ -144,14 +171,14 @@ WITH targets AS (
 def _redaction_sql() -> str:
     out = "text"
     for p in SECRETS:
-        out = f"regexp_replace({out}, {_quoted(p)}, '[REDACTED]', 'g')"
+        out = f"regexp_replace({out}, {_quoted(re2_pattern(p))}, '[REDACTED]', 'g')"
     return f"SELECT doc_id, sha256({out}) AS redacted_sha256 FROM documents"
 
 
 ORACLES = {
     "m6_seeded_findings": _findings_sql() + "SELECT * FROM findings",
     "o1_seeded_risk_order": _findings_sql()
-    + f"""SELECT target_id, {', '.join(SEVERITIES)}, score, verdict, (row_number() OVER (ORDER BY score, CASE verdict WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END,
+    + f"""SELECT target_id, {', '.join(SEVERITIES)}, score, verdict, mandatory_fail, (row_number() OVER (ORDER BY score, CASE verdict WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END,
   CASE WHEN critical > 0 THEN 0 WHEN high > 0 THEN 1 WHEN medium > 0 THEN 2 WHEN low > 0 THEN 3 WHEN info > 0 THEN 4 ELSE 99 END, target_id))::INTEGER AS rank FROM summaries""",
     "a16_seeded_run_summary": _findings_sql()
     + """, p AS (SELECT count(*) AS scanned, count(*) FILTER (verdict = 'FAIL') AS compromised, count(*) FILTER (verdict = 'FAIL') * 100.0::DOUBLE / count(*) AS pc, avg(score) AS mean,
@@ -170,7 +197,7 @@ SELECT ({list(SEVERITIES)!r})[r] AS severity, count(*) AS targets FROM w GROUP B
   OR regexp_matches(string_split(path, '/')[-1], {_quoted(DOCS_NAME)}) AS docs FROM files""",
     "f22_redact_secrets": _redaction_sql(),
     "k2_sarif_rows": _findings_sql()
-    + r""", h AS (SELECT *, substr(sha256(rule_id || chr(0) || path || chr(0) || regexp_replace(snippet, '\s+', ' ', 'g')), 1, 16) AS digest FROM findings)
+    + rf""", h AS (SELECT *, substr(sha256(rule_id || chr(0) || path || chr(0) || regexp_replace(snippet, {_quoted(re2_pattern(r'\s+'))}, ' ', 'g')), 1, 16) AS digest FROM findings)
 SELECT path, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, line AS start_line, "column" AS start_column,
   digest || ':' || (row_number() OVER (PARTITION BY digest ORDER BY line, "column"))::VARCHAR AS line_hash FROM h""",
 }
