@@ -1,6 +1,7 @@
 """Licence scan with a generalised suffix automaton.
 
-The word sequences of all licence templates go into one suffix automaton, a bounded parameter that each task gets.
+The templates are the whole texts in ``licence_texts``, with the label as file name, and the usual notices that point to
+them. Their word sequences go into one suffix automaton, a bounded parameter that each worker builds once.
 A file's words are streamed through it: after each word the automaton knows the longest run of words ending there that
 some template holds (matching statistics). Maximal runs become matches with their places in the templates; matches of one
 template that follow each other in file and template are chained over small gaps, and a chain that covers enough of the
@@ -15,9 +16,13 @@ table gives no rows; extra columns are left alone.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,8 @@ BASE_PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-# fixed values: opening or identifying sentences of public licences, as words
-TEMPLATES = (
+# fixed values: notices and identifying sentences of public licences, as words
+NOTICES = (
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
     ("agpl-3", "the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -59,7 +64,15 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-MIN_MATCH, MAX_GAP, COVERAGE = 3, 4, 0.8
+MIN_MATCH, MAX_GAP, COVERAGE, LONG = 3, 4, 0.8, 100
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, str], ...]:
+    """(label, words) of the notices and of the whole texts."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return (*NOTICES, *((f.stem, " ".join(WORD.findall(f.read_text(encoding="utf-8").lower()))) for f in files))
 
 
 @dataclass
@@ -128,7 +141,7 @@ class SuffixAutomaton:
 class Scanner:
     """Templates and phrases, made ready for texts."""
 
-    def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES):
+    def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]):
         words = sorted({w for _, t in (*templates, *phrases) for w in t.split()})
         number = {w: i for i, w in enumerate(words)}
         hashes = np.array([hash_word(w) for w in words], np.uint64)
@@ -166,39 +179,49 @@ class Scanner:
                 for nr, place in self.automaton.ends[state]:
                     found[nr].append((first + end - n + 1, first + end, place - n + 1, n))
         chains = [(covered, first, last, nr) for nr, m in found.items() for covered, first, last in self._chains(sorted(m), self.sizes[nr])]
-        out: list[tuple[str, int, int, int, float]] = []
+        out: list[tuple[int, int, int, int]] = []  # disjoint, by place
         for covered, first, last, nr in sorted(chains, key=lambda c: (-c[0], c[1], c[3])):
-            if all(last < o[1] or first > o[2] for o in out):
-                out.append((self.labels[nr], first, last, covered, covered / self.sizes[nr]))
-        return out
+            at = bisect(out, (first,))
+            if (not at or out[at - 1][1] < first) and (at == len(out) or out[at][0] > last):
+                out.insert(at, (first, last, nr, covered))
+        return [(self.labels[nr], first, last, covered, covered / self.sizes[nr]) for first, last, nr, covered in out]
 
     def _chains(self, m: list[tuple[int, int, int, int]], size: int) -> Iterator[tuple[int, int, int]]:
         best: list[tuple[int, int]] = []  # words covered and first word of the best chain that ends with each match
-        for i, (start, _, at, n) in enumerate(m):
+        near: list[int] = []  # matches that end within the gap before this one or later
+        for i, (start, end, at, n) in enumerate(m):
             mine = (n, start)
-            for j in range(i - 1, -1, -1):
-                if m[j][0] < start - size - MAX_GAP:
-                    break
+            near = [j for j in near if m[j][1] >= start - 1 - MAX_GAP]
+            for j in near:
                 gap, step = start - m[j][1] - 1, at - (m[j][2] + m[j][3])
-                if gap <= MAX_GAP and step <= MAX_GAP:
+                if step <= MAX_GAP:
                     lap = max(0, -gap, -step)  # words that both hold count once
-                    if lap < n and gap > -n and best[j][0] + n - lap > mine[0]:
+                    if lap < n and best[j][0] + n - lap > mine[0]:
                         mine = best[j][0] + n - lap, best[j][1]
             best.append(mine)
+            near.append(i)
         for (covered, first), (_, end, *_) in zip(best, m, strict=True):
-            if covered >= COVERAGE * size:
+            if covered >= min(COVERAGE * size, LONG):
                 yield min(covered, size), first, end
 
 
+@lru_cache(maxsize=2)
+def scanner_of(known: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> Scanner:
+    """One for each worker process."""
+    return Scanner(known, phrases)
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long, share: double>>"
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES) -> DataFrame:
-    """Words, phrase places, labels and covered spans of each row of ``docs`` (doc_id, text)."""
+def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None, phrases: tuple[tuple[str, str], ...] = BASE_PHRASES) -> DataFrame:
+    """With the templates ``known``, those of this module if none are given: words, phrase places, labels and covered spans of each row of ``docs`` (doc_id, text)."""
 
     short_batches(docs.sparkSession)
+    known = known or templates()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = scanner_of(known, phrases)
         for batch in small_batches(batches):
             hashes, bounds = word_hashes(batch.column(1), NOT_ALNUM)
             n, counts = batch.num_rows, np.diff(bounds)
