@@ -3,8 +3,11 @@
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case, hashed to 128 bits. Keys come
 in batches of documents. Each batch is summed up to one row a key and merge-anti-joined with the runs so far: its new
 keys are added as a run of their own, and what it says of known keys goes to a change table. When a level holds
-``fan_out`` runs they are merged into one of the next level. All of these tables are bucketed and sorted by key, so
-anti-joins and merges need no shuffle, and no key stands in two runs.
+``fan_out`` runs they are merged into one of the next level, so no key stands in two runs.
+
+Runs are bucketed tables with one file a bucket, sorted by key. They are read in that order, so an anti-join is a merge
+of sorted files: nothing is shuffled, and of its two sides only what the batch itself adds is sorted. A list of the runs
+lies beside them, written anew for each batch; ``LineRuns.open`` takes it up again, in another session too.
 
 A key found in at least ``min_docs`` documents is surplus: its lines go from all documents but the one of the largest id.
 
@@ -14,7 +17,13 @@ document, and each row is cleaned by itself; an empty table gives no rows; extra
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -55,80 +64,128 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, "id long, h1 long, h2 long")
 
 
-class LineRuns:
-    """Levelled sorted runs of (key, n documents, last id), and the changes to them that later batches bring."""
+#: Sorted buckets of one file each are read as sorted. A union of bucketed scans must not count as bucketed: Spark 4.1
+#: appends the partitions of columnar scans, and then groups in each of them alone.
+IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+
+
+@contextmanager
+def read_in_order(spark: SparkSession) -> Iterator[None]:
+    """Settings for the jobs that run meanwhile."""
+    before = {name: spark.conf.get(name, None) for name in IN_ORDER}
+    for name, value in IN_ORDER.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out = spark, fan_out
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
-        self.changes: list[DataFrame] = []
+COLUMNS = "h1 BIGINT, h2 BIGINT, n BIGINT, last BIGINT"
 
-    def _table(self, rows: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
+
+@dataclass
+class LineRuns:
+    """Levelled sorted runs of (key, n documents, last id), and the changes to them that later batches bring.
+
+    ``levels`` holds the paths of the runs, ``changes`` those of the change tables, ``buckets`` how many each has.
+    """
+
+    spark: SparkSession
+    root: str
+    buckets: int
+    fan_out: int = FAN_OUT
+    levels: list[list[str]] = field(default_factory=list)
+    changes: list[str] = field(default_factory=list)
+
+    @classmethod
+    def new(cls, spark: SparkSession, root: str | None = None, fan_out: int = FAN_OUT) -> LineRuns:
+        return cls(spark, root or scratch_path(spark, "line-runs"), int(spark.conf.get("spark.sql.shuffle.partitions")), fan_out)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> LineRuns:
+        """The runs that were left at ``root``, as of the last batch that was added whole."""
+        lists = spark.read.schema("batch long, state string").json(f"{root}/lists")
+        state = json.loads(lists.orderBy(F.desc("batch")).first()["state"])
+        return cls(spark, root, **state)
+
+    def _save(self) -> None:
+        batch = len(self.changes) + sum(map(len, self.levels)) + time.time_ns()
+        state = json.dumps({"buckets": self.buckets, "fan_out": self.fan_out, "levels": self.levels, "changes": self.changes})
+        self.spark.createDataFrame([(batch, state)], "batch long, state string").coalesce(1).write.mode("append").json(f"{self.root}/lists")
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        """One file a bucket: ``rows`` must be partitioned by key into the buckets."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         table = path.rpartition("/")[2].replace("-", "_")
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
+        with read_in_order(self.spark):
+            rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the name alone; files at a path of their own stay
+        return path
+
+    def _read(self, path: str) -> DataFrame:
+        """The table at ``path``, known to be bucketed and sorted. Its name is needed only until it is resolved."""
+        table = f"opened_{uuid.uuid4().hex}"
+        keys = ", ".join(KEY)
+        self.spark.sql(f"CREATE TABLE {table} ({COLUMNS}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         out = self.spark.table(table)
         out.schema  # noqa: B018  resolved before the name goes
+        self.spark.sql(f"DROP TABLE {table}")
         return out
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
+    def _unknown(self, own: DataFrame, known: list[str]) -> DataFrame:
+        for run in known:
+            own = own.hint("merge").join(self._read(run).select(*KEY), KEY, "left_anti")
+        return own
+
     def add(self, keys: DataFrame) -> None:
         """One batch: ``keys`` has a row (id, key) for each distinct key of each document."""
         own = keys.groupBy(*KEY).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
-        own = self._table(own.repartition(self.buckets, *KEY), "batch")
-        if runs := self.runs():
-            fresh = own
-            for run in runs:
-                fresh = fresh.hint("merge").join(run.select(*KEY), KEY, "left_anti")
-            fresh = self._table(fresh, "run")
-            self.changes.append(self._table(own.hint("merge").join(fresh.select(*KEY), KEY, "left_anti"), "change"))
-        else:
-            fresh = own
+        own = self._write(own.repartition(self.buckets, *KEY), "batch")
+        fresh = own
+        if known := self.runs():
+            fresh = self._write(self._unknown(self._read(own), known), "run")
+            self.changes.append(self._write(self._unknown(self._read(own), [fresh]), "change"))
         self._push(fresh, 0)
+        self._save()
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    def _push(self, run: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
-            merged = self._merged(self.levels[level])
+            merged = reduce(DataFrame.unionByName, [self._read(r) for r in self.levels[level]])
             self.levels[level] = []
-            self._push(self._table(merged, "run"), level + 1)
-
-    def _merged(self, tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for table in tables[1:]:
-            out = out.unionByName(table)
-        return out.repartition(self.buckets, *KEY) if len(tables) > 1 else out
+            self._push(self._write(merged.repartition(self.buckets, *KEY), "run"), level + 1)
 
     def surplus(self, min_docs: int) -> DataFrame:
         """(key, last) of the keys found in at least ``min_docs`` documents."""
-        every = self.runs()
-        if not every:
-            return self.spark.createDataFrame([], "h1 long, h2 long, last long")
-        parts = []
+        parts = [self.spark.createDataFrame([], "h1 long, h2 long, last long")]
         if self.changes:
-            more = self._merged(self.changes).groupBy(*KEY).agg(F.sum("n").alias("more"), F.max("last").alias("later"))
-        for run in every:
+            more = reduce(DataFrame.unionByName, [self._read(c) for c in self.changes])
+            more = more.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+            more = self._read(self._write(more, "changes"))
+            more = more.select(*KEY, F.col("n").alias("more"), F.col("last").alias("later"))
+        for path in self.runs():
+            run = self._read(path)
             if self.changes:
-                run = run.join(more, KEY, "left").select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
+                run = run.hint("merge").join(more, KEY, "left").select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
             parts.append(run.filter(F.col("n") >= min_docs).select(*KEY, "last"))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        with read_in_order(self.spark):
+            return staged(reduce(DataFrame.unionByName, parts), "surplus")
 
 
 def surplus_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES) -> DataFrame:
     """(id, keys): the keys that each document loses, as the bytes of one key after another."""
     keys = staged(line_keys(docs, min_chars), "line-keys")
-    runs = LineRuns(docs.sparkSession)
+    runs = LineRuns.new(docs.sparkSession)
     for b in range(batches):
         runs.add(keys.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    surplus = staged(runs.surplus(min_docs), "surplus")
+    surplus = runs.surplus(min_docs)
     lost = keys.join(surplus, KEY).filter("id <> last").select("id", *KEY).distinct()
     return lost.groupBy("id").agg(F.collect_list(F.struct(*KEY)).alias("lost"))
 
