@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b), label being the smallest node that it reaches.
 
     A large star joins a node's larger neighbours to its smallest one, a small star does so with the others. Both only
-    take minima by node and join them back, so a node of many links is summed up before the shuffle and its join can be
-    split. Each round is written to the shared folder; the loop ends when a round changes nothing.
+    take minima by node and join them back. Minima are summed up before the shuffle and written, so that the join can be
+    split at a node of many links. Each round is written to the shared folder; the loop ends when a round changes nothing.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     links = staged(links.filter("a <> b").select(high, low).distinct(), "links")
@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         seen = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")

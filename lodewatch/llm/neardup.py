@@ -18,6 +18,9 @@ filling the gap between MinHash and HyperLogLog", 2021). Equal registers mark li
 Defined cases: a document without words is linked with nothing and is its own component; null text is no text; rows that
 share an id and a set share a class; a null id is a document, and never the smallest id where its component holds
 another; an empty table gives no rows; extra columns are left alone.
+
+Words are hashed as ``wordhash`` says, shingles and sets to 64 and 128 bits, so sets that differ compare as equal only by
+chance.
 """
 
 from __future__ import annotations
@@ -221,7 +224,8 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = staged(rows.select("cid", "nr", "bucket", "size", F.coalesce("label", "cid").alias("label")), "labelled")
     parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.count("*").alias("n_labels"))
-    rows = rows.join(largest.filter("n_labels > 1").drop("n_labels"), "bucket")
+    # written, as a join can be split at a hot bucket only where both its sides come straight from a shuffle
+    rows = rows.join(staged(largest.filter("n_labels > 1").drop("n_labels"), "largest"), "bucket")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     small = F.col("size") <= 2 * BLOCK
     rows = rows.withColumns({"minor": F.col("label") != F.col("major"), "ones": F.when(small, 1).otherwise(blocks(F.col("size") - F.col("n_major"))), "twos": F.when(small, 0).otherwise(blocks(F.col("n_major")))})
@@ -336,7 +340,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, band: int =
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = bands(classes, band=band)
     heads = found.groupBy("bucket").agg(F.min("cid").alias("head"), F.max("cid").alias("tail"), F.count("*").alias("size")).filter("size > 1")
-    members = staged(found.join(heads, "bucket"), "members")
+    # written, as a join can be split at a hot bucket only where both its sides come straight from a shuffle
+    members = staged(found.join(staged(heads, "heads"), "bucket"), "members")
     ends = [members.filter(f"cid <> {end}").select(F.least(end, "cid").alias("a"), F.greatest(end, "cid").alias("b")) for end in ("head", "tail")]
     pairs = ends[0].unionByName(ends[1]).distinct()
     pairs = staged(fitting(pairs, classes, least), "pairs")
