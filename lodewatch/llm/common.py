@@ -1,18 +1,14 @@
-"""Helpers that the training-data operators share.
-
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``: every executor and the
-driver can read it, so a lost executor loses nothing that a finished step has written.
-"""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import scratch_path, scratch_root, staged
+
+__all__ = ["ascii_lower", "identity", "pick", "purge_scratch", "scratch_path", "short_batches", "staged", "word_count"]
+
 #: ASCII white space, as a Java and RE2 character class and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -20,32 +16,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of the session; a temporary one where a local session names none.
-
-    A cluster must name one: a folder of the driver's machine would take in nothing that executors write.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodewatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/lodewatch/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get at most so many rows in one batch from now on: texts are long, and two copies are held."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ and each goes to the sequence of the lowest cost that still has room for it. Pie
 are cut off first, and what fits nowhere whole is cut over the room that is left.
 
 Packing goes on inside a window of a partition's documents, so nothing is shuffled and a task holds one window of
-token ids at most, two bytes each. The room of a window is planned to hold its tokens exactly: full sequences, then
+token ids at most, two bytes each, or four with a vocabulary beyond 65,536 ids. The room of a window is planned to hold its tokens exactly: full sequences, then
 one of each power of two that the remainder needs, which is stored without padding.
 
 Defined cases: null text is empty and leaves its end mark alone; repeated rows are packed one by one; long documents
@@ -46,9 +46,10 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    kind = "<u2" if max(model.get_vocab().values(), default=0) < 1 << 16 else "<u4"
     known: dict[bytes, bytes] = {}
     before: dict[bytes, bytes] = {}
-    ids_of = lambda words: [np.array(e.ids, "<u2").tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
+    ids_of = lambda words: [np.array(e.ids, kind).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(words: set[bytes]) -> None:
         if len(known) > CACHE_WORDS:
@@ -74,19 +75,19 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     def encode(text: str) -> np.ndarray:
         data = text.encode()
         if b"<|" in data:  # a special token's string counts only in its own case
-            return np.array(model.encode(text, add_special_tokens=False).ids, "<u2")
+            return np.array(model.encode(text, add_special_tokens=False).ids, kind)
         words = data.lower().split()
         found = list(map(known.get, words))
         if None in found:
             learn({w for w, ids in zip(words, found, strict=True) if ids is None})
             found = [known[w] if w in known else before[w] for w in words]
-        return np.frombuffer(b"".join(found), "<u2")
+        return np.frombuffer(b"".join(found), kind)
 
     def forget() -> None:
         known.clear()
         before.clear()
 
-    encode.forget = forget
+    encode.forget, encode.kind = forget, kind
     _encoders[path] = encode
     return encode
 
@@ -145,7 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u2")
+        encode = encoder(tokenizer)
+        end = np.array([end_id], encode.kind)
         names, ids, held = [], [], 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
