@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SPACE_CHARS, java_pattern, recurses, required
-from ..functions.views import VIEWS, views
+from ..functions.views import DECODING, VIEWS, views
 from ..plans.catalog import RULES, Rule
 
 #: Private-use characters that mark the starts of matches and the ends of groups; taken out of texts first.
@@ -31,7 +31,7 @@ def applies(name: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, [matches_glob(name, g) for g in rule.names])
 
 
-PATTERNS = "array<struct<rule_id: string, severity: string, message: string, pattern_idx: int, view: string, pattern: string, placed: boolean, words: array<string>, globs: array<struct<head: string, tail: string, whole: boolean>>>>"
+PATTERNS = "array<struct<rule_id: string, severity: string, message: string, pattern_idx: int, view: string, pattern: string, placed: boolean, always: boolean, scopes: array<string>, words: array<string>, globs: array<struct<head: string, tail: string, whole: boolean>>>>"
 
 
 @lru_cache(maxsize=8)
@@ -43,7 +43,10 @@ def _rows(rules: tuple[Rule, ...]) -> str:
         for i, p in enumerate(rule.patterns):
             if recurses(p):
                 raise ValueError(f"pattern {i} of {rule.rule_id} repeats a group without bound; make the repeat possessive")
-            rows.append({"rule_id": rule.rule_id, "severity": rule.severity, "message": rule.message, "pattern_idx": i, "view": rule.view, "pattern": java_pattern(p), "placed": "(?<finding>" in p, "words": required(p), "globs": globs})
+            # patterns of the escalated view come before all others
+            tried = [(rule.severity, rule.view, i)] + ([(*rule.escalated, i - len(rule.patterns))] if rule.escalated else [])
+            for severity, view, nr in tried:
+                rows.append({"rule_id": rule.rule_id, "severity": severity, "message": rule.message, "pattern_idx": nr, "view": view, "pattern": java_pattern(p), "placed": "(?<finding>" in p, "always": view in DECODING, "scopes": rule.scopes, "words": required(p), "globs": globs})
     return json.dumps(rows)
 
 
@@ -56,17 +59,20 @@ def candidates(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(target_id, path, content, patterns): each file that may match, with the patterns that may match it.
 
     Masked text holds no word that the whole text doesn't hold, so the whole text decides. A pattern that requires no
-    word is tried.
+    word is tried, and so is one whose view decodes escapes. Rules of a scope ask for ``installations`` of the file,
+    array<struct<format, scope, scan_name>>; files without that column meet none of them.
     """
     text = F.translate(F.coalesce("content", F.lit("")), MARK + GROUP, "")
     # one row in an array, so that the text is made and lowered once and not for each word
-    bound = F.array(F.struct(text.alias("content"), F.lower(text).alias("lowered"), F.element_at(F.split("path", "/"), -1).alias("name")))
+    bound = F.array(F.struct(text.alias("content"), F.lower(text).alias("lowered"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("installations").alias("installations") if "installations" in files.columns else F.lit(None).cast("array<struct<format: string, scope: string, scan_name: string>>").alias("installations")))
+    glob = lambda g, name: F.when(g["whole"], name == g["head"]).otherwise(name.startswith(g["head"]) & name.endswith(g["tail"]))
 
     def of_file(t: Column) -> Column:
-        named = lambda g: F.when(g["whole"], t["name"] == g["head"]).otherwise(t["name"].startswith(g["head"]) & t["name"].endswith(g["tail"]))
-        held = lambda p: F.when(F.size(p["words"]) == 0, F.regexp_like(t["content"], p["pattern"])).otherwise(F.exists(p["words"], lambda w: t["lowered"].contains(w)))
-        fitting = F.filter(_patterns(rules), lambda p: F.when(F.exists(p["globs"], named), held(p)).otherwise(F.lit(False)))
-        return F.struct(t["content"].alias("content"), F.transform(fitting, lambda p: p.dropFields("words", "globs")).alias("patterns"))
+        named = lambda p: F.exists(p["globs"], lambda g: glob(g, t["name"]))
+        installed = lambda p: F.coalesce(F.exists(t["installations"], lambda i: (i["format"] == "agent-config") & F.array_contains(p["scopes"], i["scope"]) & F.exists(p["globs"], lambda g: glob(g, i["scan_name"]))), F.lit(False))
+        held = lambda p: F.when(p["always"], F.lit(True)).when(F.size(p["words"]) == 0, F.regexp_like(t["content"], p["pattern"])).otherwise(F.exists(p["words"], lambda w: t["lowered"].contains(w)))
+        fitting = F.filter(_patterns(rules), lambda p: F.when(~named(p), F.lit(False)).when((F.size(p["scopes"]) > 0) & ~installed(p), F.lit(False)).otherwise(held(p)))
+        return F.struct(t["content"].alias("content"), F.transform(fitting, lambda p: p.dropFields("words", "globs", "scopes", "always")).alias("patterns"))
 
     found = F.filter(F.transform(bound, of_file), lambda x: F.size(x["patterns"]) > 0)
     return files.select("target_id", "path", F.explode(found).alias("x")).select("target_id", "path", "x.content", "x.patterns")

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Rule:
     """``names`` are globs of file names. A pattern with a group ``finding`` is placed where the group's text first stands
-    in the match. ``view`` names the text that is matched: "raw" or a view of ``functions.views``."""
+    in the match. ``view`` names the text that is matched: "raw" or a view of ``functions.views``.
+    Where ``escalated`` names a severity and a view, matches in that view come first and have that severity. A rule with
+    ``scopes`` holds for settings files that are installed in one of them."""
 
     rule_id: str
     severity: str
@@ -20,6 +22,8 @@ class Rule:
     patterns: tuple[str, ...]
     message: str
     view: str = "raw"
+    scopes: tuple[str, ...] = ()
+    escalated: tuple[str, str] | None = None
 
 
 # fixed values: file kinds
@@ -33,7 +37,11 @@ SKILLS_AND_CODE = (*SKILLS, "*.sh", "*.bash", "*.js", "*.ts", "*.mjs", "*.cjs",
 TEXTS = ("*.md", "*.mdc", "*.txt", "*.sh", "*.bash", *JS_ALL, "*.py", "SKILL.md", "AGENTS.md", "CLAUDE.md", "GEMINI.md")
 DECODERS = ("*.md", "*.mdc", "*.txt", "*.sh", "*.bash", "*.ps1", "SKILL.md", "AGENTS.md", "CLAUDE.md", "GEMINI.md")
 
+SETTINGS = ("settings.json", "settings.local.json")
+
 # fixed values: parts of patterns
+STARTUP = r"(?:\"(?:command|args)\"\s*:|\b(?:command|args)\s*=)[\s\S]{0,800}?"
+OFFICIAL = r"api\.anthropic\.com|bedrock-runtime(?:-fips)?\.[a-z0-9-]+\.amazonaws\.com|[a-z0-9.-]+\.api\.aws|(?:[a-z0-9-]+-)?aiplatform\.googleapis\.com|[a-z0-9-]+\.services\.ai\.azure\.com|api\.openai\.com"
 HOME = r"(?:~|\$HOME|\$\{HOME\})\"?/"
 STORE_END = r"(?![A-Za-z0-9._/-]| [A-Za-z0-9._-])"
 UP = r"(?:\.\./){2,}"
@@ -137,6 +145,13 @@ RULES = (
     Rule("SKILL-DISABLE-SAFETY", "critical", "skill-specific", SKILLS, (r"(?i)\bdisable\s+(?:safe\s+mode|safety(?:\s+checks?)?|content\s+filter(?:ing)?|safety\s+filter(?:ing)?)\b", r"(?i)\bbypass\s+(?:safety(?:\s+checks?)?|content\s+polic(?:y|ies)|content\s+filter(?:ing)?|safeguards?)\b", r"(?i)\bignore\s+(?:content\s+polic(?:y|ies)|safety\s+guidelines?|content\s+filter(?:ing)?)\b", r"(?i)\bturn\s+off\s+(?:safety(?:\s+checks?)?|safe\s+mode|content\s+filter(?:ing)?)\b"), "Instruction to disable or bypass LLM safety controls detected.", "prompts"),
     Rule("SKILL-PASSWORD-ZIP", "critical", "skill-specific", SKILLS_AND_CODE, (r"unzip\s+-P\s+[\"']?\S+[\"']?\s+\S+\.zip", r"7z\s+x\s+-p\S+\s+\S+", r"\bunzip[ \t]+-P[ \t]*(?:[\"'](?![\s\"'$%{<`])|[^\s\"'$%{<`])", r"[Zz](?<![\w.-][Zz])[Ii][Pp](?=[ \t])[^\n|;&]{0,200}[ \t](?:-[A-Za-z0-9]{0,8}[Pe]|--(?:password|encrypt)\b)", r"(?i)zipcloak(?<![\w.-]zipcloak)[ \t]+(?:[-\"'$]|[^\s|;&]{0,200}\.zip\b)", r"(?i)(?<![\w.-])(?:7z[az]?|rar)[ \t]+a(?=[ \t])[^\n|;&]{0,200}[ \t]-h?p(?!-)\S", rf"{called('[Zz][Ii][Pp]')}[^\])}};]{{0,200}}[\"'`]{ZIP_FLAG}", rf"(?i){called('7z[az]?|rar')}[^\])}};]{{0,40}}[\"'`]a[\"'`][^\])}};]{{0,200}}[\"'`]-h?p(?!-)(?:[^\s\"'`]|[\"'`][ \t]{{0,4}}\+)", rf"(?i){called('zipcloak', IN_LIST)}[ \t]*,|{called('zipcloak', IN_CALL)}[ \t]*,[ \t\r\n]*[\[\"']", r"\bWZ_AES\b", r"[\"']zip-encrypted[\"']"), "Password-protected archive extraction or creation detected.", "taught"),
     Rule("SKILL-MEMORY-WRITE", "high", "skill-specific", SKILLS_AND_CODE, (rf"(?:^|\n){NOT_FORBIDDEN}[^#\n]*(?<finding>(?:{WRITES}[^#\n]*{AGENT_FILES}|{AGENT_FILES}[^#\n]*\b(?:[Ww]rite|[Aa]ppend)\b))", rf"(?:^|\n){NOT_FORBIDDEN}[^#\n]*(?<finding>(?:{FILE_WRITES}))"), "Writing to agent memory or config directory detected — potential persistent context poisoning.", "taught"),
+    Rule("MCP-CONFIG-REMOTE-EXEC", "critical", "dependencies", (".mcp.json", "mcp.json", "settings.json", "settings.local.json", "hooks.json", "config.toml", "gemini-extension.json", "*.toml"), (rf"(?i){STARTUP}(?:curl|wget|fetch)\b[^\n|&;]{{0,240}}https?://[^\s\"'`)]+[^\n|&;]{{0,80}}\s*(?:\||&&)\s*(?:bash|sh|zsh|python|node)\b", rf"(?i){STARTUP}\bsource\s*<\(\s*(?:curl|wget)\b[^)]*https?://[^)]*\)", rf"(?i){STARTUP}\beval\s*(?:[\"'`]+\s*)?\$\(\s*(?:curl|wget)\b[^)]*https?://", rf"(?i){STARTUP}\b(?:bash|sh|zsh|python|node)\s+-c\s+[^\n]{{0,80}}\$\(\s*(?:curl|wget)\b[^)]*https?://", rf"(?i){STARTUP}[\"']-c[\"'](?:\s{{0,80}},(?:\s{{0,80}}(?:#|//)[^\n]{{0,200}}\n)?\s{{0,80}}[\"'])?[^\n]{{0,120}}\$\(\s*(?:curl|wget)\b[^)]*https?://"), "MCP or agent config startup command downloads and executes remote content.", "startup"),
+    Rule("MCP-PROJECT-AUTO-APPROVE", "high", "dependencies", ("settings.json",), (r"\"enableAllProjectMcpServers\"\s*:\s*true\b", r"\"enabledMcpjsonServers\"\s*:\s*\[\s*\""), "Project settings auto-approve project MCP servers - they start without the consent prompt.", "settings", ("project",)),
+    Rule("NET-API-ENDPOINT-OVERRIDE", "critical", "network-exfil", SETTINGS, (rf"(?i)\"(?:ANTHROPIC_(?:BEDROCK_|BEDROCK_MANTLE_|VERTEX_|FOUNDRY_|AWS_)?BASE_URL|OPENAI_BASE_URL)\"\s*:\s*\"\s*(?!https://(?:{OFFICIAL})(?::\d+)?[\"/])[^\"\s]",), "Project settings redirect the model API - the agent sends its API key and prompts to a non-official endpoint.", "settings", ("project",)),
+    Rule("NET-HOOK-HTTP-EXTERNAL", "high", "network-exfil", (*SETTINGS, "hooks.json"), (r"\S+",), "Project HTTP hook posts session data to an external host - the repository author receives prompts, tool input and output, and any environment variables in its headers.", "hooks", ("project",), ("critical", "hooks_with_environment")),
+    Rule("SEC-PROJECT-CREDENTIAL-HELPER", "high", "secrets", SETTINGS, (r"\"(?:apiKeyHelper|awsAuthRefresh|awsCredentialExport|gcpAuthRefresh)\"\s*:\s*\"\s*[^\"\s]",), "Project settings set a credential helper.", "settings", ("project",)),
+    # keys of providers, and names of keys that are given a value with a long run of letters and digits; these shapes are our own
+    Rule("SEC-HARDCODED-KEY", "critical", "secrets", (*SCRIPTS, "*.cjs", "*.jsx", "*.tsx", "*.json", ".env"), (r"\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}", r"\bgh[po]_[A-Za-z0-9]{36}\b", r"\bAKIA[A-Z0-9]{16}\b", r"(?i)\b[a-z0-9_]*(?:key|token|secret)[\"']?\s*[:=]\s*[\"'][^\"'\s]{0,40}?(?<![a-z0-9])(?!([a-z0-9])\1{7})[a-z0-9+/]{24}"), "Hardcoded key or token detected."),
 )
 
 # fixed values: rules that force a verdict alone, and the parts of compound triggers

@@ -58,7 +58,7 @@ def brute_force(files):
         name = path.split("/")[-1]
         found.setdefault(target, set())
         for rule in RULES:
-            if any(name == g if "*" not in g else name.startswith(g.split("*")[0]) and name.endswith(g.rsplit("*", 1)[1]) for g in rule.names):
+            if not rule.scopes and any(name == g if "*" not in g else name.startswith(g.split("*")[0]) and name.endswith(g.rsplit("*", 1)[1]) for g in rule.names):
                 own = text if rule.view == "raw" else view(rule.view, text, path, "docs" in path.split("/"))
                 for p in rule.patterns:
                     for m in regex.finditer(python_pattern(p), own, regex.A | regex.V0):
