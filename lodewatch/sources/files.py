@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.inventory import owners
+from ..operators.ordering import ranked
+
 
 def folder_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, bytes, sha256, modified) of each file under ``root``."""
@@ -16,3 +19,19 @@ def tree_hash(files: DataFrame) -> DataFrame:
     """(target_id, tree_sha256): the hash of the sorted lines ``path:sha256`` of each target's files (target_id, rel_path, sha256)."""
     lines = F.sort_array(F.collect_list(F.concat_ws(":", "rel_path", "sha256")))
     return files.groupBy("target_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree_sha256"))
+
+
+def path_targets(files: DataFrame) -> DataFrame:
+    """(target, path, nr) of the files of one tree (path, relative): each belongs to the deepest folder above that holds a manifest.
+
+    ``target`` is that folder, '' for what lies outside all of them. ``nr`` orders targets: the root first, if it has
+    files of its own, then by path. A tree without files has no targets.
+    """
+    owned = owners(files.select(F.lit("").alias("tree"), "path")).select("target", "path")
+    targets = ranked(owned.select("target").distinct(), ["target"]).withColumnRenamed("rank", "nr")
+    return owned.join(targets, "target")
+
+
+def within_limit(files: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The files that can be read, and (path, error) of those beyond the limit: they make a scan incomplete, never clean."""
+    return files.filter(F.col("bytes") <= most_bytes), files.filter(F.col("bytes") > most_bytes).select("path", F.concat(F.lit("larger than "), F.lit(most_bytes), F.lit(" bytes")).alias("error"))

@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodewatch.plans import inventory, queries
+from lodewatch.plans import inventory, queries, reports
 
-ORACLES = {**queries.ORACLES, **inventory.ORACLES}
-QUERIES = {**queries.QUERIES, **inventory.QUERIES}
+ORACLES = {**queries.ORACLES, **inventory.ORACLES, **reports.ORACLES}
+QUERIES = {**queries.QUERIES, **inventory.QUERIES, **reports.QUERIES}
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -38,6 +38,17 @@ def test_seeded_targets_reach_every_verdict(spark):
     assert len({r[8] for r in rows}) > 3  # what forces a verdict
 
 
+@pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
+def test_report_queries_are_documents(spark):
+    import json
+
+    from lodewatch.operators.reports import KEY
+
+    for name, held in (("k1_report_lines", lambda d: len(d["skills"])), ("k2_log_lines", lambda d: len(d["runs"][0]["results"]))):
+        rows = sorted(QUERIES[name](spark, str(SF)).collect(), key=lambda r: tuple(r[k] for k in KEY))
+        assert held(json.loads("".join(r.text for r in rows))) > 10
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
