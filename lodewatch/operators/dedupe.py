@@ -18,12 +18,20 @@ def path_rank(path: Column) -> Column:
 
 
 def merge_equal(targets: DataFrame) -> DataFrame:
-    """``targets`` (agent_id, path, tree_sha256) with one row for each non-empty hash: its primary path, all paths and agents."""
-    merged = targets.filter("tree_sha256 <> ''").groupBy("tree_sha256").agg(F.min_by("path", F.struct(path_rank(F.col("path")), "path")).alias("path"), F.array_sort(F.collect_set("agent_id")).alias("agent_ids"), F.array_sort(F.collect_set("path")).alias("paths"))
-    alone = targets.filter("coalesce(tree_sha256, '') = ''").select(F.lit("").alias("tree_sha256"), "path", F.array("agent_id").alias("agent_ids"), F.array("path").alias("paths"))
+    """``targets`` (agent_id, path, tree_sha256) with one row for each non-empty hash: its primary path, its agents and how many paths it has.
+
+    Agents are few; paths may be many, so they are counted here and listed by ``member_paths``.
+    """
+    merged = targets.filter("tree_sha256 <> ''").groupBy("tree_sha256").agg(F.min_by("path", F.struct(path_rank(F.col("path")), "path")).alias("path"), F.array_sort(F.collect_set("agent_id")).alias("agent_ids"), F.count_distinct("path").cast("int").alias("n_paths"))
+    alone = targets.filter("coalesce(tree_sha256, '') = ''").select(F.lit("").alias("tree_sha256"), "path", F.array("agent_id").alias("agent_ids"), F.lit(1).alias("n_paths"))
     return merged.unionByName(alone)
 
 
+def member_paths(targets: DataFrame) -> DataFrame:
+    """(tree_sha256, path): all paths of each non-empty hash, one a row."""
+    return targets.filter("tree_sha256 <> ''").select("tree_sha256", "path").distinct()
+
+
 def split_ignored(targets: DataFrame, ignored: DataFrame) -> DataFrame:
     """``targets`` with ``ignored``: whether the hash is on the list (tree_sha256)."""
     known = ignored.select("tree_sha256").filter("tree_sha256 <> ''").distinct().withColumn("on_list", F.lit(True))

@@ -58,7 +58,7 @@ def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a11_dedupe_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_equal(targets_of(spark, sf_dir)).select("tree_sha256", "path", F.array_join("agent_ids", ",").alias("agent_ids"), F.size("paths").alias("n_paths"))
+    return merge_equal(targets_of(spark, sf_dir)).select("tree_sha256", "path", F.array_join("agent_ids", ",").alias("agent_ids"), "n_paths")
 
 
 def f8_ignore_list(spark: SparkSession, sf_dir: str) -> DataFrame:

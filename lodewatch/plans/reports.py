@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.context import CONTEXT_CHARS, CONTEXT_FILES, EDUCATION_WORDS, NOTE_ID, with_context_notes
 from ..operators.inventory import list_order
 from ..operators.matching import first_per_line, match_all
 from ..operators.reports import explained, html_escaped, json_report, list_json, redacted_paths, sarif_report, table_rows
@@ -74,6 +75,7 @@ QUERIES = {
     "s1_path_targets": s1_path_targets,
     "s6_mcp_servers": lambda s, d: mcp_servers(server_files(s, d)),
     "f3_project_rules": f3_project_rules,
+    "m10_context_notes": lambda s, d: with_context_notes(staged(seeded_findings(s, d), "findings"), seeded_files(s, d)).filter(F.col("rule_id") == NOTE_ID).select("target_id", "path", "line", "severity"),
     "f21_redacted_paths": lambda s, d: seeded_files(s, d).select("path", redacted_paths(F.col("path")).alias("shown")),
     "c_html_escape": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(html_escaped(F.coalesce("html", F.lit(""))).cast("binary")).alias("escaped_md5")),
     "k1_report_lines": k1_report_lines,
@@ -99,6 +101,10 @@ WITH s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'settings.local.json' EL
   SELECT *, 'MCP-PROJECT-AUTO-APPROVE' AS rule_id FROM s WHERE name = 'settings.json' AND regexp_matches(line, '"enableAllProjectMcpServers"\\s*:\\s*true\\b|"enabledMcpjsonServers"\\s*:\\s*\\[\\s*"')
   UNION ALL SELECT *, 'SEC-PROJECT-CREDENTIAL-HELPER' FROM s WHERE regexp_matches(line, '"(?:apiKeyHelper|awsAuthRefresh|awsCredentialExport|gcpAuthRefresh)"\\s*:\\s*"\\s*[^"\\s]'))
 SELECT doc_id || '/' || name AS path, rule_id, 2 AS line, 3 AS "column", line AS snippet FROM r""",
+    "m10_context_notes": _findings_sql()
+    + f""", a AS (SELECT target_id, arg_min(path, {{'p': path, 'l': line, 'r': rule_id}}) AS path FROM findings WHERE severity <> 'info' GROUP BY target_id
+), t AS (SELECT DISTINCT target_id FROM files WHERE string_split(path, '/')[-1] IN {CONTEXT_FILES!r} AND regexp_matches(substr(content, 1, {CONTEXT_CHARS}), '{EDUCATION_WORDS}'))
+SELECT target_id, path, 1 AS line, 'info' AS severity FROM a SEMI JOIN t USING (target_id)""",
     "f21_redacted_paths": _findings_sql() + "SELECT path, '[redacted]/' || string_split(path, '/')[-1] AS shown FROM files",
     "c_html_escape": "SELECT page_id, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages",
     "k3_table_rows": _findings_sql()

@@ -1,5 +1,5 @@
 from lodewatch.functions.text import is_documentation, redacted
-from lodewatch.operators.dedupe import merge_equal
+from lodewatch.operators.dedupe import member_paths, merge_equal
 from lodewatch.operators.matching import fingerprints, first_per_line, match_all
 from lodewatch.operators.scoring import risk_order, run_summary, score_targets
 from lodewatch.sources.files import folder_files, tree_hash
@@ -64,8 +64,10 @@ def test_risk_order_and_summary(spark):
 
 def test_merge_keeps_the_installed_path_and_never_groups_empty_hashes(spark):
     rows = [("x", "r/plugins/marketplaces/a", "h"), ("y", "r/z", "h"), ("y", "r/plugins/cache/a", "h"), ("x", "p", ""), ("x", "q", "")]
-    got = merge_equal(spark.createDataFrame(rows, "agent_id string, path string, tree_sha256 string")).collect()
-    assert sorted((r.tree_sha256, r.path, len(r.paths)) for r in got) == [("", "p", 1), ("", "q", 1), ("h", "r/z", 3)]
+    targets = spark.createDataFrame(rows, "agent_id string, path string, tree_sha256 string")
+    got = merge_equal(targets).collect()
+    assert sorted(tuple(r) for r in member_paths(targets).collect()) == sorted(("h", r[1]) for r in rows[:3])
+    assert sorted((r.tree_sha256, r.path, r.n_paths) for r in got) == [("", "p", 1), ("", "q", 1), ("h", "r/z", 3)]
 
 
 def test_text_functions(spark):
