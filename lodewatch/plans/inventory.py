@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.inventory import agent_counts, agent_paths, distinct_installations, exit_code, fallback_name, install_state, list_order, look_up, owners, percent_text, source_label, top_issues
 from ..operators.matching import matches_glob
-from ..operators.reviews import compare_models, consensus, file_budget
+from ..operators.reviews import compare_models, consensus, file_budget, top_consensus
 from ..operators.scoring import risk_order
-from .catalog import RULES
+from .catalog import RULES, SEVERITIES
 from .queries import _findings_sql, _quoted, seeded_findings, seeded_summaries, viewed_findings, viewed_summaries
 from .seeds import seeded_files
 
@@ -131,6 +131,7 @@ QUERIES = {
     "o2_list_order": lambda s, d: list_order(targets(s, d)).select("path", "rank"),
     "o5_seeded_highlight": o5_highlight,
     "o5_viewed_highlight": lambda s, d: o5_highlight(s, d, viewed_summaries),
+    "o6_top_consensus": lambda s, d: top_consensus(consensus(reviews(s, d))),
     "o7_file_budget": o7_budget,
 }
 
@@ -183,6 +184,10 @@ ORACLES = {
   CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' WHEN low > 0 THEN 'low' ELSE 'info' END AS highest_severity,
   mode(status) AS dominant_status FROM reviews GROUP BY model_name""",
     "a21_model_consensus": _REVIEWS + "SELECT name, file, category, severity, string_agg(DISTINCT model_name, ',' ORDER BY model_name) AS models FROM reviews WHERE status = 'ok' GROUP BY ALL HAVING count(DISTINCT model_name) > 1",
+    "o6_top_consensus": _REVIEWS
+    + f""", g AS (SELECT name, file, category, severity, count(DISTINCT model_name) AS n FROM reviews WHERE status = 'ok' GROUP BY ALL HAVING count(DISTINCT model_name) > 1
+), o AS (SELECT *, (row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, severity), name, file, category))::INTEGER AS nr, greatest(count(*) OVER () - 2, 0) AS more FROM g)
+SELECT nr, CASE WHEN file = 'unknown file' THEN name ELSE name || '/' || file END || ' ' || severity || ' (' || n || ' models)' AS text, more FROM o WHERE nr <= 2""",
     "a23_agent_count": _TARGETS + "SELECT count(DISTINCT agent_id) AS agents FROM targets",
     "a24_percent_text": "SELECT doc_id, CASE WHEN p > 0 AND p < 100 THEN printf('0.%02d', p) WHEN p < 100 THEN '0' ELSE p::VARCHAR END AS percent FROM (SELECT doc_id, doc_id % 1000 AS p FROM documents)",
     "f1_glob_rules": _globs_sql(),

@@ -3,6 +3,7 @@ from lodewatch.operators.dedupe import member_paths, merge_equal
 from lodewatch.operators.matching import fingerprints, first_per_line, match_all
 from lodewatch.operators.scoring import risk_order, run_summary, score_targets
 from lodewatch.sources.files import folder_files, tree_hash
+import pytest
 from pyspark.sql import functions as F
 
 FINDING = "target_id string, path string, line int, rule_id string, severity string"
@@ -170,3 +171,32 @@ def test_inventory_cases(spark):
     assert got == ["Raw socket", "Detected", "—", "w" * 53 + "..."]
     known = spark.createDataFrame([("1", "Alpha", "p"), ("alpha", "Beta alpha", "q")], "id string, name string, path string")
     assert [look_up(known, w).first().path for w in (" ALPHA ", "1", "beta")] == ["p", "p", "q"] and look_up(known, " ").count() == 0
+
+
+def test_models_are_selected_by_name_and_must_be_local(spark):
+    from lodewatch.operators.reviews import loopback_url, select_models, smallest_context
+
+    registry = spark.createDataFrame([("b", False, 4096), ("a", None, None), ("off", True, 1)], "name string, disabled boolean, context_tokens int")
+    assert [m.name for m in select_models(registry, "b, a", "b")] == ["a", "b"] == [m.name for m in select_models(registry, "all")]
+    assert smallest_context(select_models(registry, "all")) == 2048 and smallest_context(select_models(registry, "b")) == 4096
+    for wrong in ("off", "none", " , "):
+        with pytest.raises(ValueError):
+            select_models(registry, wrong)
+    assert loopback_url(" http://127.1:80/v1// ") == "http://127.1:80/v1" and loopback_url("http://[::1]/")
+    for wrong in ("http://a@localhost", "http://x.localhost", "ftp://localhost", "http://example.com"):
+        with pytest.raises(ValueError):
+            loopback_url(wrong)
+
+
+def test_files_beyond_the_limit_are_errors(spark, tmp_path):
+    from lodewatch.sources.files import path_targets, within_limit
+
+    for name, text in (("SKILL.md", "x" * 50), ("a/SKILL.md", "y"), ("a/b/c.py", "z"), ("top.md", "t")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = folder_files(spark, f"file://{tmp_path}")
+    fine, errors = within_limit(files, 10)
+    assert fine.count() == 3 and [r.path.rsplit("/", 1)[1] for r in errors.collect()] == ["SKILL.md"]
+    relative = files.select(F.regexp_replace("path", f"^file:{tmp_path}/", "").alias("path"))
+    got = sorted((r.nr, r.target, r.path) for r in path_targets(relative).collect())
+    assert got == [(1, "", "SKILL.md"), (1, "", "top.md"), (2, "a", "a/SKILL.md"), (2, "a", "a/b/c.py")]
