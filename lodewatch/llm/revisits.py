@@ -112,14 +112,21 @@ def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     found = resolved.select("row_key", "canonical", "full", "outcome", "base_id", "base_key").dropDuplicates(["row_key"])
     rows = with_key(records, "headers", "body")
-    plain = rows.join(found.filter("outcome <> 'resolved'"), "row_key")
+    names = ["record_id", "url", "at", "canonical", "full", "status", "headers", "body", "outcome", "base_id"]
+    # what is no revisit stays as it is, so its body needn't move
+    full = F.col("status").eqNullSafe(200)
+    none = F.lit(None).cast(dict(found.dtypes)["base_id"]).alias("base_id")
+    plain = rows.filter(~F.col("status").eqNullSafe(304)).withColumns({"canonical": canonical_url(F.col("url")), "full": full, "outcome": F.when(full, "full").otherwise("other")})
+    plain = plain.select(*names[:-1], none)
+    visits = rows.filter("status = 304")
+    kept = visits.join(found.filter("outcome <> 'resolved'"), "row_key").select(*names)
     # a revisit has no body of its own
-    own = rows.filter("status = 304").drop("body").join(found.filter("outcome = 'resolved'"), "row_key")
+    own = visits.drop("body").join(found.filter("outcome = 'resolved'"), "row_key")
     wanted = found.filter("outcome = 'resolved'").select(F.col("base_key").alias("row_key")).distinct()
     base = rows.filter("status = 200").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
     base = base.select(F.col("row_key").alias("base_key"), F.col("status").alias("base_status"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body"))
     done = own.join(base, "base_key").select("record_id", "url", "at", "canonical", "full", F.col("base_status").alias("status"), merged_headers(F.col("headers"), F.col("base_headers")).alias("headers"), F.col("base_body").alias("body"), "outcome", "base_id")
-    return plain.select(*done.columns).unionByName(done)
+    return plain.unionByName(kept).unionByName(done)
 
 
 def headers_digest(headers: Column) -> Column:
