@@ -41,6 +41,11 @@ SETTINGS = ("settings.json", "settings.local.json")
 
 # fixed values: parts of patterns
 STARTUP = r"(?:\"(?:command|args)\"\s*:|\b(?:command|args)\s*=)[\s\S]{0,800}?"
+ENV_DUMP = r"(?:(?:/usr)?/bin/)?(?:env|printenv|export(?:\s+-p)?|declare\s+-[px]|set)"
+STAGE = r"(?:[^#;&|\n]|\\\r?\n)"
+DATA_FLAG = r"(?:-[A-Za-z]*[dF]|--data(?:-ascii|-binary|-raw|-urlencode)?|--form|--post-data|--body-data)"
+DUMP_SUBSTITUTION = rf"(?:\$\(|`|<\()\s*{ENV_DUMP}\s*(?:\|[^)`\n]{{0,80}})?[)`]"
+STDIN = r"(?:-|/dev/stdin)(?![\w/.-])"
 OFFICIAL = r"api\.anthropic\.com|bedrock-runtime(?:-fips)?\.[a-z0-9-]+\.amazonaws\.com|[a-z0-9.-]+\.api\.aws|(?:[a-z0-9-]+-)?aiplatform\.googleapis\.com|[a-z0-9-]+\.services\.ai\.azure\.com|api\.openai\.com"
 HOME = r"(?:~|\$HOME|\$\{HOME\})\"?/"
 STORE_END = r"(?![A-Za-z0-9._/-]| [A-Za-z0-9._-])"
@@ -152,6 +157,8 @@ RULES = (
     Rule("SEC-PROJECT-CREDENTIAL-HELPER", "high", "secrets", SETTINGS, (r"\"(?:apiKeyHelper|awsAuthRefresh|awsCredentialExport|gcpAuthRefresh)\"\s*:\s*\"\s*[^\"\s]",), "Project settings set a credential helper.", "settings", ("project",)),
     # keys of providers, and names of keys that are given a value with a long run of letters and digits; these shapes are our own
     Rule("SEC-HARDCODED-KEY", "critical", "secrets", (*SCRIPTS, "*.cjs", "*.jsx", "*.tsx", "*.json", ".env"), (r"\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}", r"\bgh[po]_[A-Za-z0-9]{36}\b", r"\bAKIA[A-Z0-9]{16}\b", r"(?i)\b[a-z0-9_]*(?:key|token|secret)[\"']?\s*[:=]\s*[\"'][^\"'\s]{0,40}?(?<![a-z0-9])(?!([a-z0-9])\1{7})[a-z0-9+/]{24}"), "Hardcoded key or token detected."),
+    # the forms of shell code; what a program reads and sends by way of names is not followed
+    Rule("NET-EXFIL-ENV", "critical", "network-exfil", SCRIPTS, (rf"\b(?:curl|wget)\b(?:[^#\n]|\\\r?\n){{0,200}}\s{DATA_FLAG}(?:\s+|=)?[^\s\"']{{0,40}}(?:\"(?:[^\"\\\n]|\\.){{0,200}})?{DUMP_SUBSTITUTION}", rf"(?<![\w.$-]){ENV_DUMP}\s*\|(?!\|)(?:{STAGE}{{0,80}}\|){{0,3}}\s*(?:curl\b{STAGE}{{0,200}}(?:@|\s(?:-[A-Za-z]*T|--upload-file)\s*){STDIN}|wget\b{STAGE}{{0,200}}--(?:post|body)-file[=\s][\"']?{STDIN}|(?:nc|ncat|netcat)\s)", rf"\b(?:curl|wget|nc|ncat|netcat)\b{STAGE}{{0,200}}(?:<<<\s*\"?|<\s*){DUMP_SUBSTITUTION}"), "Environment variables transmitted over outbound HTTP — credential exfiltration.", "dumps"),
 )
 
 # fixed values: rules that force a verdict alone, and the parts of compound triggers
