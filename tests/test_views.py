@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from lodewatch.functions.views import VIEWS, view
+from lodewatch.functions.views import DECODING, VIEWS, view
 
 
 def test_code_without_comments_and_strings():
@@ -76,5 +76,6 @@ def test_views_take_time_in_proportion(shape):
     for name in VIEWS:
         for path in ("a.py", "b.sh", "SKILL.md", "d.js", "t.ps1"):
             began = time.time()
-            assert len(view(name, SHAPES[shape], path, False)) == len(SHAPES[shape])
+            shown = view(name, SHAPES[shape], path, False)
+            assert len(shown) == len(SHAPES[shape]) or name in DECODING  # what is no JSON is empty
             assert time.time() - began < 20
