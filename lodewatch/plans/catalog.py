@@ -85,7 +85,7 @@ IN_CALL, IN_LIST = r"\(", r"(?<!,[ \t\r\n]{0,40})\["
 ZIP_FLAG = r"(?:-[A-Za-z0-9]{0,8}[Pe]|--(?:password|encrypt)\b)"
 BEFORE = r"(?:^|[\s\"'=:(>/])"
 CLAUDE_FILES = r"~[/\\]\.claude[/\\](?:CLAUDE(?:\.local)?\.md\b|settings(?:\.local)?\.json\b|(?:commands|agents|skills)[/\\]|plugins[/\\][^#\n]+[/\\](?:commands|agents|skills)[/\\])"
-AGENT_FILES = rf"(?:{CLAUDE_FILES}|~[/\\]\.cursor[/\\]|~[/\\]\.codex[/\\](?:AGENTS(?:\.override)?\.md|config\.toml)\b|{BEFORE}\.codex[/\\]config\.toml\b|~[/\\]\.gemini[/\\](?:settings\.json\b|agents[/\\])|~[/\\]\.agents[/\\]skills[/\\]|{BEFORE}(?:CLAUDE|AGENTS|GEMINI)\.md\b|{BEFORE}AGENTS\.override\.md\b|\.cursorrules\b|\.windsurfrules\b|\.config[/\\]skill-audit\b)"
+AGENT_FILES = rf"(?:{CLAUDE_FILES}|~[/\\]\.cursor[/\\]|~[/\\]\.codex[/\\](?:AGENTS(?:\.override)?\.md|config\.toml)\b|{BEFORE}\.codex[/\\]config\.toml\b|~[/\\]\.gemini[/\\](?:settings\.json\b|agents[/\\])|~[/\\]\.agents[/\\]skills[/\\]|{BEFORE}(?:CLAUDE|AGENTS|GEMINI)\.md\b|{BEFORE}AGENTS\.override\.md\b|\.cursorrules\b|\.windsurfrules\b)"
 WRITES = r"(?:(?:[Ww]rite|[Aa]ppend|[Ee]cho|[Pp]rintf)\b|[Cc]at\s+>>?|[Tt]ee(?:\s+-a)?\b)"
 FILE_WRITES = rf"fs\.(?:writeFile|appendFile)(?:Sync)?\s*\([^#\n]*{AGENT_FILES}|open\s*\([^#\n]*{AGENT_FILES}[^#\n]*,\s*[\"'][wa]"
 NOT_FORBIDDEN = r"(?![^#\n]*\b(?:[Mm]ust\s+[Nn][Oo][Tt]|[Dd]o\s+[Nn]ot|[Nn]ever)\b)"
