@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, linededup, mixing, neardup, packing, quality, revisits, sharding, topk, toxicity
+from . import audit, licenses, linededup, mixing, neardup, packing, quality, revisits, sharding, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_quality": quality.op8_line_quality,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_ftrl_toxicity": toxicity.op10_ftrl_toxicity,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_revisit_resolution": revisits.OP4_SQL,
     "op6_maxscore_top20": topk.OP6_SQL,
     "op8_line_quality": quality.OP8_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }
