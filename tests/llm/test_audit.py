@@ -15,8 +15,8 @@ def simulated(rows, labels):
     first = {}
     for i, text, _ in rows:
         first[text or ""] = min(first.get(text or "", (True, 10**9)), place(i))
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     parts = {}
     for i, text, lang in rows:
         text = text or ""
