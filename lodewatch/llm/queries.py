@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, divergence, licenses, linededup, mixing, neardup, packing, quality, revisits, sharding, topk, toxicity
+from . import audit, divergence, licenses, linededup, mixing, neardup, packing, quality, revisits, sharding, substrings, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_ftrl_toxicity": toxicity.op10_ftrl_toxicity,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_substring_dedup": substrings.op12_substring_dedup,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op6_maxscore_top20": topk.OP6_SQL,
     "op8_line_quality": quality.OP8_SQL,
     "op11_filter_audit": audit.OP11_SQL,
+    "op12_substring_dedup": substrings.OP12_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
