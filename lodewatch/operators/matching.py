@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache, reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import SPACE_CHARS, java_pattern, recurses, required
 from ..functions.views import DECODING, VIEWS, views
 from ..plans.catalog import RULES, Rule
+from ..plans.linear import linear_forms
 
 #: Private-use characters that mark the starts of matches and the ends of groups; taken out of texts first.
 MARK, GROUP = "\ue000", "\ue001"
@@ -41,12 +43,12 @@ def _rows(rules: tuple[Rule, ...]) -> str:
     for rule in rules:
         globs = [{"head": g.split("*", 1)[0], "tail": g.rsplit("*", 1)[-1], "whole": "*" not in g} for g in rule.names]
         for i, p in enumerate(rule.patterns):
-            if recurses(p):
+            if any(map(recurses, forms := linear_forms(p))):
                 raise ValueError(f"pattern {i} of {rule.rule_id} repeats a group without bound; make the repeat possessive")
             # patterns of the escalated view come before all others
             tried = [(rule.severity, rule.view, i)] + ([(*rule.escalated, i - len(rule.patterns))] if rule.escalated else [])
-            for severity, view, nr in tried:
-                rows.append({"rule_id": rule.rule_id, "severity": severity, "message": rule.message, "pattern_idx": nr, "view": view, "pattern": java_pattern(p), "placed": "(?<finding>" in p, "always": view in DECODING, "scopes": rule.scopes, "words": required(p), "globs": globs})
+            for (severity, view, nr), form in product(tried, forms):
+                rows.append({"rule_id": rule.rule_id, "severity": severity, "message": rule.message, "pattern_idx": nr, "view": view, "pattern": java_pattern(form), "placed": "(?<finding>" in form, "always": view in DECODING, "scopes": rule.scopes, "words": required(p), "globs": globs})
     return json.dumps(rows)
 
 
