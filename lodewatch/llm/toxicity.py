@@ -5,9 +5,9 @@ Each coordinate has its own learning rate, and the L1 term leaves most weights a
 places and weights: at most ``DIMENSIONS`` of them, and in practice a few thousand, which is what is broadcast.
 
 The model is fitted on a sample of at most ``SAMPLE_ROWS`` labelled ids, by hash of the id, with one text each. The sample
-is dealt to shards of about ``SHARD_ROWS`` rows, each is learned by itself, and the weights are averaged. A shard whose
-rows have more than ``SHARD_FEATURES`` features is learned in several parts, so what a task holds is bounded however
-long texts are. Scoring covers all rows.
+is dealt to shards of about ``SHARD_ROWS`` rows, each is learned by itself, and the weights are averaged, each model by its
+rows. A shard whose rows have more than ``SHARD_FEATURES`` features is learned in several parts, each of which counts by
+its rows too, so what a task holds is bounded however long texts are. Scoring covers all rows.
 
 Defined cases: null or empty text is scored by the bias alone; ids that are labelled twice are toxic if one label says
 so; of several texts of a labelled id the one of the least hash is learned; null labels are left out; without any labelled row all scores are 0; repeated rows are scored one by one; an empty
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
         def learned_parts() -> Iterator[pa.RecordBatch]:
             for shard, own in examples.items():
                 at, w = learn(own, rates, max(LEAST_STEPS, EPOCHS * len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(at) + 1), pa.int32()), pa.array([-1, *at], pa.int64()), pa.array([float(len(own)), *w], pa.float64())], ["shard", "place", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(at) + 1), pa.int32()), pa.array([-1, *at], pa.int64()), pa.array([float(len(own)), *(w * len(own))], pa.float64())], ["shard", "place", "weight"])
 
         for batch in small_batches(batches):
             owner, place = feature_places(batch.column(1))
@@ -138,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
         yield from learned_parts()
 
     learned = staged(rows.select("label", "text", "h", "shard").mapInArrow(run, "shard int, place long, weight double"), "weights")
-    used, n_rows = learned.filter("place = -1").agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-    mean = learned.filter("place >= 0").groupBy("place").agg((F.sum("weight") / max(used, 1)).alias("weight")).orderBy("place")
+    n_rows = learned.filter("place = -1").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    mean = learned.filter("place >= 0").groupBy("place").agg((F.sum("weight") / max(n_rows, 1)).alias("weight")).orderBy("place")
     found = mean.toArrow()  # at most DIMENSIONS rows, whatever the corpus
     return Model(found.column("place").to_numpy().astype(np.int64), found.column("weight").to_numpy(), int(n_rows))
 
