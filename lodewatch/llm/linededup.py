@@ -186,8 +186,9 @@ def surplus_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batch
     for b in range(batches):
         runs.add(keys.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
     surplus = runs.surplus(min_docs)
-    lost = keys.join(surplus, KEY).filter("id <> last").select("id", *KEY).distinct()
-    return lost.groupBy("id").agg(F.collect_list(F.struct(*KEY)).alias("lost"))
+    # nothing behind the join in its stage needs its partitioning, so adaptive execution may split a line that very many hold
+    lost = keys.join(surplus, KEY).filter("id <> last").select("id", F.struct(*KEY).alias("key"))
+    return staged(lost.groupBy("id").agg(F.collect_set("key").alias("lost")), "lost-lines")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
