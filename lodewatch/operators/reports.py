@@ -14,6 +14,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.advice import cwe_of, fix_of
 from ..plans.catalog import RULES, SEVERITIES, Rule
 from .inventory import basename
 from .matching import fingerprints
@@ -23,6 +24,7 @@ KEY = ["block", "rank", "part", "path", "rule_id", "line"]
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 TOP = 20
+AGENT_PATHS = "array<struct<id: string, path: string>>"
 
 
 def write_document(lines: DataFrame, path: str) -> None:
@@ -55,11 +57,20 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def with_advice(findings: DataFrame) -> DataFrame:
+    """``findings`` with the category, fix and cwe (array) of their rules; kinds of findings that are no rule have the category "other"."""
+    known = [(r.rule_id, r.category, fix_of(r.rule_id), cwe_of(r.rule_id)) for r in RULES]
+    advice = findings.sparkSession.createDataFrame(known, "rule_id string, category string, fix string, cwe array<string>")
+    own = findings.drop("category", "fix", "cwe").join(F.broadcast(advice), "rule_id", "left")  # a row a rule
+    return own.withColumns({"category": F.coalesce("category", F.lit("other")), "fix": F.coalesce("fix", F.lit("")), "cwe": F.coalesce("cwe", F.array().cast("array<string>"))})
+
+
 def json_report(targets: DataFrame, findings: DataFrame, agents: DataFrame, started_at: str, duration_ms: int, version: str) -> DataFrame:
     """The lines of a scan report: run, agents, targets in risk order with their findings, and the summary.
 
     ``targets`` has target_id, rank, verdict, score, mandatory_fail, allowlisted, a count for each severity and, if
-    known, name, install_state, modified_at, tree_sha256 and ignored; ``findings`` has target_id, path, rule_id,
+    known, name, install_state, modified_at, tree_sha256, ignored, agent_paths (array<struct<id, path>>) and llm_reviews
+    (array of structs as they shall be written); ``findings`` has target_id, path, rule_id,
     severity, message, line, column and snippet; ``agents`` id, installed and skills_scanned, one row an agent.
     """
     spark, c = targets.sparkSession, F.col
@@ -67,11 +78,12 @@ def json_report(targets: DataFrame, findings: DataFrame, agents: DataFrame, star
     head = json.dumps({"schema_version": "1.0", "scan": {"started_at": started_at, "duration_ms": duration_ms, "tool_version": version}})[:-1]
     agents = agents.withColumn("rank", F.row_number().over(Window.orderBy("id")))  # a dozen rows
     ignored = F.coalesce(has("ignored", F.lit(False)), F.lit(False))
-    opening = _json(id=c("target_id"), name=has("name", c("target_id")), install_state=has("install_state", F.lit("installed")), modified_at=has("modified_at", F.lit(None).cast("string")), tree_sha256=F.coalesce(has("tree_sha256", F.lit("")), F.lit("")), allowlisted=c("allowlisted"), ignored=ignored)
+    opening = _json(id=c("target_id"), agents=F.coalesce(has("agent_paths", F.lit(None)).cast(AGENT_PATHS), F.array().cast(AGENT_PATHS)), name=has("name", c("target_id")), install_state=has("install_state", F.lit("installed")), modified_at=has("modified_at", F.lit(None).cast("string")), tree_sha256=F.coalesce(has("tree_sha256", F.lit("")), F.lit("")), allowlisted=c("allowlisted"), ignored=ignored)
     counts = _json(**{s: c(s) for s in SEVERITIES}, score=c("score"), verdict=c("verdict"), mandatory_fail=c("mandatory_fail"))
     comma = F.when(c("rank") > 1, F.lit(",")).otherwise(F.lit(""))
-    found = _first_marked(findings.join(targets.select("target_id", "rank"), "target_id"))
-    finding = _json(rule_id=c("rule_id"), severity=c("severity"), file=c("path"), line=c("line"), column=c("column"), snippet=c("snippet"), message=c("message"))
+    found = _first_marked(with_advice(findings).join(targets.select("target_id", "rank"), "target_id"))
+    finding = _json(rule_id=c("rule_id"), severity=c("severity"), category=c("category"), file=c("path"), line=c("line"), column=c("column"), snippet=c("snippet"), message=c("message"), fix=c("fix"), cwe=c("cwe"))
+    reviews = F.concat(F.lit(', "llm_reviews": '), F.to_json("llm_reviews")) if "llm_reviews" in targets.columns else F.lit("")
     active = targets.filter(~ignored)
     total, failed = F.count("*"), F.count_if(c("verdict") == "FAIL")
     percent = F.when(total == 0, F.lit(0.0)).otherwise(failed * 100.0 / total)
@@ -84,7 +96,7 @@ def json_report(targets: DataFrame, findings: DataFrame, agents: DataFrame, star
         _whole(spark, 2, F.lit('], "skills": [')),
         _keyed(targets, 3, 0, F.concat(comma, F.regexp_replace(opening, r"\}$", ""), F.lit(', "findings": ['))),
         _keyed(found, 3, 1, F.concat(F.when(c("first"), "").otherwise(","), finding)),
-        _keyed(targets, 3, 2, F.concat(F.lit('], "summary": '), counts, F.lit("}"))),
+        _keyed(targets, 3, 2, F.concat(F.lit("]"), F.coalesce(reviews, F.lit("")), F.lit(', "summary": '), counts, F.lit("}"))),
         end.select(F.lit(4).alias("block"), F.lit(0).alias("rank"), F.lit(0).alias("part"), F.lit("").alias("path"), F.lit("").alias("rule_id"), F.lit(0).alias("line"), "text"),
     ]
     return reduce(_joined, parts)
@@ -96,13 +108,13 @@ def sarif_report(targets: DataFrame, findings: DataFrame, version: str, root_uri
     Paths that begin with a slash or a drive stand outside the root and get a fingerprint; others are relative to it.
     """
     spark, c = findings.sparkSession, F.col
-    shipped = spark.createDataFrame([(i, r.rule_id, r.category, r.severity, r.message) for i, r in enumerate(rules)], "rank int, rule_id string, category string, severity string, message string")
+    shipped = spark.createDataFrame([(i, r.rule_id, r.category, r.severity, r.message, fix_of(r.rule_id), cwe_of(r.rule_id)) for i, r in enumerate(rules)], "rank int, rule_id string, category string, severity string, message string, fix string, cwe array<string>")
     more = findings.join(F.broadcast(shipped.select("rule_id")), "rule_id", "left_anti").groupBy("rule_id").agg(F.min("severity").alias("severity"), F.min("message").alias("message"))
-    more = more.withColumn("rank", F.row_number().over(Window.orderBy("rule_id")) + len(rules) - 1).withColumn("category", F.lit("other"))  # kinds of findings, not findings
+    more = more.withColumn("rank", F.row_number().over(Window.orderBy("rule_id")) + len(rules) - 1).withColumns({"category": F.lit("other"), "fix": F.lit(""), "cwe": F.array().cast("array<string>")})  # kinds of findings, not findings
     catalog = shipped.unionByName(more)
     level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
     comma = lambda first: F.when(first, F.lit("")).otherwise(F.lit(","))
-    descriptor = _json(id=c("rule_id"), shortDescription=F.struct(c("message").alias("text")), help=F.struct(c("message").alias("text")), defaultConfiguration=F.struct(level[c("severity")].alias("level")), properties=F.struct(F.array(F.lit("security"), c("category")).alias("tags")))
+    descriptor = _json(id=c("rule_id"), shortDescription=F.struct(c("message").alias("text")), help=F.struct(F.concat("message", F.when(c("fix") != "", F.concat(F.lit("\n\nFix: "), "fix")).otherwise("")).alias("text")), defaultConfiguration=F.struct(level[c("severity")].alias("level")), properties=F.struct(F.concat(F.array(F.lit("security"), c("category")), c("cwe")).alias("tags")))
     encoded = F.replace(F.replace(F.url_encode("path"), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
     inside = ~F.regexp_like("path", F.lit(r"^(/|[A-Za-z]:)"))
     rows = fingerprints(findings.join(targets.select("target_id", "rank"), "target_id"))
@@ -148,7 +160,8 @@ def list_json(ordered: DataFrame) -> DataFrame:
 
 
 def explained(findings: DataFrame, target_id: str) -> DataFrame:
-    """One target's findings with ``nr``: most severe first, then by path, line and rule."""
+    """One target's findings with ``nr``: most severe first, then by path, line and rule; with their snippet, fix and cwe."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     w = Window.orderBy(rank, "path", "line", "rule_id")  # the findings of one target
-    return findings.filter(F.col("target_id") == target_id).withColumn("nr", F.row_number().over(w)).select("nr", "severity", "rule_id", F.concat_ws(":", basename(F.col("path")), "line").alias("place"), "message")
+    rows = with_advice(findings.filter(F.col("target_id") == target_id)).withColumn("nr", F.row_number().over(w))
+    return rows.select("nr", "severity", "rule_id", F.concat_ws(":", basename(F.col("path")), "line").alias("place"), "message", "snippet", "fix", F.array_join("cwe", ", ").alias("cwe"))

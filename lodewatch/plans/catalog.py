@@ -114,6 +114,8 @@ RULES = (
     Rule("CODEEXEC-JS-CHILDPROCESS-SHELL", "critical", "code-execution", (*JS, "*.cjs"), (r"require\s*\(\s*['\"]child_process['\"]\s*\)", r"\bshell\s*:\s*true\b"), "child_process with shell:true — command injection risk.", "code"),
     Rule("CODEEXEC-DESERIALIZE", "high", "code-execution", ("*.py", "*.rb", "*.php", "*.js", "*.ts"), (r"\bpickle\.loads?\s*\(", r"\byaml\.load\s*\(", r"\bunserialize\s*\(", r"\bMarshal\.load\s*\("), "Unsafe deserialization — may allow arbitrary code execution via crafted input.", "code"),
     Rule("CODEEXEC-SHELL-BACKTICK", "high", "code-execution", SH, (r"(?<!\\)(?:\\\\)*`(?:[^`\\\n]|\\.){5,}+`", rf"\b(?:eval|trap|(?:ba|da|k|z)?sh\s+-(?=[a-z]*c)[a-z]+)\s+\"(?:[^\"\\\n]|(?!{ESCAPED_TICKS})\\.)*+{ESCAPED_TICKS}"), "Shell backtick command substitution — executes arbitrary commands.", "code"),
+    # its matches come from operators.remote_loads, as names and files have to be followed
+    Rule("DEPS-REMOTE-IMPORT", "critical", "dependencies", (*JS_ALL, *PY), (), "Remote URL import detected — code fetched from the network with no integrity check."),
     Rule("DEPS-INSTALL-SCRIPT-HOOKS", "high", "dependencies", ("package.json", "setup.py"), (r"\"(?:post|pre)install\"\s*:\s*\"[^\"]*\bnpm\s+(?:install|i|add)\b[^\"]*\"", r"\"(?:post|pre)install\"\s*:\s*\"[^\"]*\bpip3?\s+install\b[^\"]*\"", r"\"(?:post|pre)install\"\s*:\s*\"[^\"]*\b(?:curl|wget)\s+[^\"]*\"", r"subprocess\.\w+\(\s*\[?\s*['\"]pip['\"][^)]*\binstall\b[^)]*\)"), "Lifecycle install hook executes package installs — runs automatically and silently on npm install."),
     Rule("DEPS-TYPOSQUAT", "high", "dependencies", ("requirements.txt", "requirements*.txt", "package.json", "Pipfile", "pyproject.toml"), (rf"(?im)(?:^|['\",\s])({'|'.join(TYPOSQUATS)})(?:['\",\s>=<!@$]|$)",), "Known typosquatting package name detected."),
     Rule("DEPS-UNPINNED-SUSPECT", "medium", "dependencies", ("requirements.txt", "requirements*.txt", "Pipfile"), (r"(?m)^(?![#\s\[])([A-Za-z][A-Za-z0-9._-]+)\s*(?:>=|<=|!=|>|<|~=|$)",), "Dependency without exact version pin — may silently upgrade to a malicious release."),

@@ -12,6 +12,7 @@ from ..functions.text import DOCS_NAME, DOCS_SEGMENTS, SECRETS, is_documentation
 from ..operators.dedupe import merge_equal, path_rank, split_ignored
 from ..operators.matching import fingerprints, first_per_line, match_all
 from ..operators.scoring import risk_order, run_summary, score_targets, severity_buckets
+from ..operators.remote_loads import remote_loads
 from ..staging import staged
 from .catalog import FAIL_ALONE, PIPE_RULES, RULES, SAME_LINE, SEVERITIES, STORE_RULES
 from .seeds import EVERY, NAMES, SEEDS, TARGET_FILES, seeded_files
@@ -39,7 +40,21 @@ def seeded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def viewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over their views; without SQL, as views are lexers and Java's patterns look around."""
-    return first_per_line(match_all(seeded_files(spark, sf_dir)))
+    files = seeded_files(spark, sf_dir)
+    return first_per_line(match_all(files).unionByName(remote_loads(files)))
+
+
+def loading_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as comments of scripts, each with a chain of names up to seven long, at an address or at a local file, that a loader reads."""
+    docs = documents(spark, sf_dir).select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")).alias("text"))
+    start = F.when(F.col("doc_id") % 3 == 0, "const v0 = 'https://x.example/a.js';").otherwise("const v0 = './a.js', home = 'https://x.example';")
+    names = F.transform(F.slice(F.sequence(F.lit(0), F.lit(7)), 2, (F.col("doc_id") % 8).cast("int")), lambda i: F.concat(F.lit("const v"), i, F.lit(" = v"), i - 1, F.lit(";")))
+    code = F.concat_ws("\n", start, F.array_join(F.concat(names, F.array(F.concat(F.lit("  import(v"), F.col("doc_id") % 8, F.lit(");")))), "\n"))
+    return docs.select(F.lit("t").alias("target_id"), F.concat("doc_id", F.lit("/app.js")).alias("path"), F.concat(F.lit("/*"), "text", F.lit("*/\n"), code).alias("content"))
+
+
+def v22_remote_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remote_loads(loading_files(spark, sf_dir)).select("path", "rule_id", "severity", "line", "column", "snippet")
 
 
 def viewed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +97,7 @@ def sarif_rows(findings: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "v22_remote_loads": v22_remote_loads,
     "m6_seeded_findings": seeded_findings,
     "m6_viewed_findings": viewed_findings,
     "o1_seeded_risk_order": lambda spark, d: ranked_targets(seeded_summaries(spark, d)),
@@ -176,6 +192,9 @@ def _redaction_sql() -> str:
 
 
 ORACLES = {
+    "v22_remote_loads": """
+WITH d AS (SELECT doc_id, doc_id % 8 AS n, replace(coalesce(text, ''), '*/', '') AS text FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id || '/app.js' AS path, 'DEPS-REMOTE-IMPORT' AS rule_id, 'critical' AS severity, (len(string_split(text, chr(10))) + 2 + n)::INTEGER AS line, 3 AS "column", 'import(v' || n || ');' AS snippet FROM d""",
     "m6_seeded_findings": _findings_sql() + "SELECT * FROM findings",
     "o1_seeded_risk_order": _findings_sql()
     + f"""SELECT target_id, {', '.join(SEVERITIES)}, score, verdict, mandatory_fail, (row_number() OVER (ORDER BY score, CASE verdict WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END,

@@ -13,9 +13,10 @@ from ..operators.scoring import risk_order
 from ..operators.servers import mcp_servers
 from ..sources.files import path_targets
 from ..staging import staged
+from .advice import ADVICE, cwe_of, fix_of
 from .catalog import RULES, SEVERITIES
 from .inventory import _FILES, _TARGETS, files, targets
-from .queries import _findings_sql, ranked_targets, seeded_findings, seeded_summaries, summaries, viewed_findings
+from .queries import _findings_sql, _quoted, ranked_targets, seeded_findings, seeded_summaries, summaries, viewed_findings
 from .seeds import seeded_files
 
 #: Settings of a project, by remainder of the id: what they hold on their second line.
@@ -85,6 +86,7 @@ QUERIES = {
     "k7_explained": lambda s, d: explained(seeded_findings(s, d), EXPLAINED),
 }
 
+_ADVICE = ", ".join(f"({_quoted(r)}, {_quoted(fix_of(r))}, {_quoted(', '.join(cwe_of(r)))})" for r in ADVICE)
 _CASES = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SETTINGS))
 ORACLES = {
     "s1_path_targets": _FILES
@@ -115,6 +117,7 @@ SELECT * FROM o WHERE rank <= 20""",
     + """SELECT (row_number() OVER (ORDER BY list_position(['project', 'managed', 'user'], scope), state, agent_id, name, path))::INTEGER AS rank,
   to_json({'agent': agent_id, 'name': name, 'path': path, 'tree_sha256': tree_sha256, 'scope': scope, 'install_state': state, 'format': format})::VARCHAR AS text FROM targets""",
     "k7_explained": _findings_sql()
-    + f"""SELECT (row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, severity), path, line, rule_id))::INTEGER AS nr, severity, rule_id, string_split(path, '/')[-1] || ':' || line AS place, message
-FROM findings WHERE target_id = '{EXPLAINED}'""",
+    + f"""SELECT (row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, severity), path, line, rule_id))::INTEGER AS nr, severity, rule_id, string_split(path, '/')[-1] || ':' || line AS place, message,
+       snippet, a.fix, a.cwe
+FROM findings JOIN (VALUES {_ADVICE}) a(rule_id, fix, cwe) USING (rule_id) WHERE target_id = '{EXPLAINED}'""",
 }

