@@ -93,13 +93,22 @@ def _marked(text: Column, p: Column) -> Column:
     return F.when(p["placed"], F.array_join(F.transform(pieces, placed), "")).otherwise(at_start)
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``files`` over as many tasks as there are cores, where the scan has fewer: matching is one narrow stage, and a table of
+    few row groups, or a few heavy ones, would leave most cores idle. Texts move once; findings are small."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= cores:
+        return files
+    return files.repartition(4 * cores, F.xxhash64("target_id", "path"))
+
+
 def match_all(files: DataFrame, rules: tuple[Rule, ...] = RULES, masked: bool = True) -> DataFrame:
     """(target_id, path, rule_id, severity, message, pattern_idx, line, column, snippet): the first match of each pattern on each line of ``files`` (target_id, path, content).
 
     A rule reads the view that it names, or with ``masked`` off the whole content. Views keep lines, so places carry over.
     Null content holds no match; repeated files are matched one by one; extra columns are left alone.
     """
-    rows = candidates(files, rules)
+    rows = candidates(dealt(files), rules)
     text = F.col("content")
     if masked:
         wanted = F.array_distinct(F.transform("patterns", lambda p: p["view"]))

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 64
+from ..staging import staged
 
+#: Rows of a range, about.
+RANGE_ROWS = 200_000
 
-def ranked(rows: DataFrame, keys: list[str], pivots: int = PIVOTS) -> DataFrame:
+
+def ranked(rows: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
     """``rows`` with ``rank`` (from 1) in the order of ``keys``, nulls first; equal keys are numbered as they come.
 
-    The rows of smallest key hash, ``pivots`` of them, split the order into ranges. Each range is numbered by itself and
-    starts where the rows before it end. Only the pivots reach the driver. Every row counts; nothing is sampled out.
+    Rows are sorted by ranges, as many as their number asks for, and written once. The id of a row holds its range and its
+    place there, and a range starts where the rows before it end; only the sizes of ranges are broadcast, a row each.
     """
-    key = F.struct(*keys)
-    types = [rows.schema[k].dataType for k in keys]
-    picked = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(pivots).distinct().collect()
-    splits = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, r, types)]) for r in picked])
-    cut = F.size(F.filter(splits, lambda s: s <= key)) if picked else F.lit(0)
-    parts = rows.withColumn("range", cut)
-    sizes = parts.groupBy("range").agg(F.count("*").alias("n"))  # one row a range
+    if ranges is None:
+        ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
+    ordered = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # the id holds the range above its 33 low bits
+    parts = staged(ordered.withColumn("at", F.monotonically_increasing_id()), "ranked").withColumn("range", F.shiftright("at", 33))
+    sizes = parts.groupBy("range").agg(F.count("*").alias("n"))
     starts = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
-    number = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
-    return parts.withColumn("nr", number).join(F.broadcast(starts), "range").withColumn("rank", (F.col("start") + F.col("nr")).cast("int")).drop("range", "nr", "start")
+    rank = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.join(F.broadcast(starts), "range").withColumn("rank", rank.cast("int")).drop("range", "at", "start")

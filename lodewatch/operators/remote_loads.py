@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import SPACE_CHARS, java_pattern
 from ..functions.views import QUOTED, tagged_code
 from ..staging import staged
-from .matching import MARK
+from .matching import MARK, dealt
 
 RULE_ID, SEVERITY = "DEPS-REMOTE-IMPORT", "critical"
 # fixed values: the message, and the calls that load, download, write and run
@@ -110,7 +110,8 @@ def facts(files: DataFrame) -> DataFrame:
 
     A piece goes from a fact to the next one; ``before`` and ``next`` are the pieces around it.
     """
-    rows = files.select("target_id", "path", "content").filter(F.regexp_extract("path", r"\.(\w+)$", 1).isin(*EXTENSIONS) & F.regexp_like("content", F.lit(HINT))).distinct()
+    rows = files.select("target_id", "path", "content").filter(F.regexp_extract("path", r"\.(\w+)$", 1).isin(*EXTENSIONS) & F.regexp_like("content", F.lit(HINT)))
+    rows = dealt(rows).distinct()
     rows = rows.select("target_id", "path", F.col("path").endswith(".py").alias("python"), tagged_code(F.col("content"), F.col("path")).alias("text"))
     every = {True: PY_FACTS, False: JS_FACTS}
     cut = lambda python: F.split(F.regexp_replace("text", java_pattern("|".join(f"(?:{p})" for p in every[python].values())), F.lit(MARK + "$0")), MARK)
@@ -215,9 +216,9 @@ def remote_loads(files: DataFrame) -> DataFrame:
     loads = found.filter("kind IN ('load', 'import', 'module', 'path')").select(*FILE, "seq", F.explode(F.coalesce(of_module, literal)).alias("stem"))
     by_file = loads.filter("stem <> ''").join(fetched, [*FILE, "stem"], "left_semi").select(*FILE, "seq")
     hits = by_name.unionByName(by_file).unionByName(found.filter("kind = 'static'").select(*FILE, "seq")).distinct()
-    hits = found.join(hits, [*FILE, "seq"], "left_semi").select(*FILE, "line", "column")
-    lines = files.select(*FILE, F.posexplode(F.split("content", "\n")).alias("nr", "own")).distinct()
-    lines = lines.select(*FILE, (F.col("nr") + 1).alias("line"), F.substring(F.btrim("own", F.lit(SPACE_CHARS)), 1, 120).alias("snippet"))
+    hits = staged(found.join(hits, [*FILE, "seq"], "left_semi").select(*FILE, "line", "column").distinct(), "loads")
+    # few, so Spark broadcasts them if they are small and moves the texts if they aren't
+    own = F.get(F.split("content", "\n"), F.col("line") - 1)
+    rows = files.select(*FILE, "content").join(hits, FILE).withColumn("snippet", F.substring(F.btrim(own, F.lit(SPACE_CHARS)), 1, 120))
     fixed = {"rule_id": RULE_ID, "severity": SEVERITY, "message": MESSAGE, "pattern_idx": 0}
-    hits = hits.join(lines, [*FILE, "line"])
-    return hits.select(*FILE, *[F.lit(v).alias(k) for k, v in fixed.items()], "line", "column", "snippet")
+    return rows.select(*FILE, *[F.lit(v).alias(k) for k, v in fixed.items()], "line", "column", "snippet").distinct()
