@@ -125,8 +125,6 @@ def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
     wanted = found.filter("outcome = 'resolved'").select(F.col("base_key").alias("row_key")).distinct()
     base = rows.filter("status = 200").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
     base = base.select(F.col("row_key").alias("base_key"), F.col("status").alias("base_status"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body"))
-    # written, so that adaptive execution may split the revisits of one base
-    base = staged(base, "bases")
     done = own.join(base, "base_key").select("record_id", "url", "at", "canonical", "full", F.col("base_status").alias("status"), merged_headers(F.col("headers"), F.col("base_headers")).alias("headers"), F.col("base_body").alias("body"), "outcome", "base_id")
     return plain.unionByName(kept).unionByName(done)
 
