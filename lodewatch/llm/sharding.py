@@ -123,5 +123,7 @@ def op7_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source", "lang")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     rows = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    # written, so that the texts are read once and not for the bounds, the ranges and the rows
+    rows = staged(rows, "sizes")
     out = shards(rows, ["source", "lang", "size", "doc_id"], 24, tie=("text_crc32", "size", "doc_id"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
