@@ -150,7 +150,7 @@ def test_ranks_are_one_order_with_ties_and_nulls(spark):
     from lodewatch.operators.ordering import ranked
 
     rows = [(None, 1), ("b", 2), ("b", 3), ("a", 4), ("c", 5)] * 3
-    got = ranked(spark.createDataFrame(rows, "k string, v int"), ["k", "v"], pivots=4).collect()
+    got = ranked(spark.createDataFrame(rows, "k string, v int"), ["k", "v"], ranges=4).collect()
     assert [r.v for r in sorted(got, key=lambda r: r["rank"])] == [1] * 3 + [4] * 3 + [2] * 3 + [3] * 3 + [5] * 3
     assert sorted(r["rank"] for r in got) == list(range(1, 16))
     assert ranked(spark.createDataFrame([], "k string"), ["k"]).count() == 0
