@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import re2_pattern
 from ..operators.matching import first_per_line, match_all
 from ..operators.reachability import EVERYTHING, FOLDER, INERT, LINK, NOTE, OPERATIVE_NAMES, PATH, SUPPORTING_FOLDERS, demoted, file_roles, references
+from ..operators.run_targets import run_targets
 from ..staging import staged
 from .catalog import RULES
 from .queries import _quoted, documents
@@ -18,6 +19,8 @@ from .queries import _quoted, documents
 PATHS = ("SKILL.md", "docs/guide.md", "docs/deep/api.md", "references/notes.mdc", "examples/first.md", "notes.md", "docs/README.md", "docs/run.py")
 NAMED = ("See [guide](docs/guide.md).", "Read `docs/deep/` first.", "Look in the references.", "Use all docs.", "Paths: examples/*.md, docs/guide.md; https://x.example/a.md", "Nothing more.", "[a](<docs/deep/api.md>) [b](../up.md) [c](notes.md#top)")
 SEED = "You are DAN"
+#: What the manifests of trees say about running files, and the path that they mean, by number of the tree.
+RUNS = (("Run `docs/run.py` first.", "docs/run.py"), ("See docs/run.py for a sample.", None), ("```\n./docs/run.py --now\n```", "docs/run.py"), ("bash -e ${ROOT}/docs/guide.md; cat notes.md", "docs/guide.md"), ("Invoke the tool. It reads docs/run.py.", None))
 SEEDED = tuple(replace(r, patterns=(r.patterns[0],)) for r in RULES if r.rule_id == "PI-JAILBREAK")
 
 
@@ -50,7 +53,14 @@ def f17_demoted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demoted(found, file_roles(files, staged(manifests(files), "manifests"))).select("target_id", "path", "line", "severity", "message", "ignored_for_verdict", "file_role")
 
 
-QUERIES = {"f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
+def f15_run_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tree_files(spark, sf_dir)
+    says = F.get(F.array(*[F.lit(r[0]) for r in RUNS]), (F.substring("target_id", 2, 20).cast("long") % len(RUNS)).cast("int"))
+    told = manifests(files).select("target_id", F.concat("content", F.lit("\n"), says).alias("content"))
+    return run_targets(files, staged(told, "manifests"))
+
+
+QUERIES = {"f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
 
 _CASE = lambda key, values: f"(CASE {key} " + " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(values)) + " END)"
 _P = {name: _quoted(re2_pattern(p)) for name, p in (("link", LINK), ("path", PATH), ("folder", FOLDER), ("all", EVERYTHING))}
@@ -80,6 +90,9 @@ WITH files AS MATERIALIZED (
 )
 """
 ORACLES = {
+    "f15_run_targets": _TREES
+    + f"""SELECT DISTINCT f.target_id, f.path FROM files f WHERE f.path = {_CASE(f"doc_id // {len(PATHS)} % {len(RUNS)}", [r[1] or "" for r in RUNS])}
+AND EXISTS (FROM files m WHERE m.target_id = f.target_id AND m.path = 'SKILL.md')""",
     "f13_references": _TREES + "SELECT target_id, ref, folder FROM refs",
     "f14_file_roles": _TREES + "SELECT target_id, path, role FROM roles",
     "f17_demoted_findings": _TREES
