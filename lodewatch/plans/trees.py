@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import re2_pattern
+from ..functions.text import SECRETS
 from ..operators.matching import first_per_line, match_all
 from ..operators.reachability import EVERYTHING, FOLDER, INERT, LINK, NOTE, OPERATIVE_NAMES, PATH, SUPPORTING_FOLDERS, demoted, file_roles, references
+from ..operators.payload import sent_files
 from ..operators.run_targets import run_targets
 from ..staging import staged
 from .catalog import RULES
@@ -60,7 +63,19 @@ def f15_run_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_targets(files, staged(told, "manifests"))
 
 
-QUERIES = {"f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
+#: Characters that the files of a tree may take together.
+BUDGET = 8192
+
+
+def l3_sent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of some lengths have a NUL character at their beginning."""
+    files = tree_files(spark, sf_dir)
+    files = files.withColumn("content", F.when(F.length("content") % 11 == 5, F.concat(F.lit("\u0000"), "content")).otherwise(F.col("content")))
+    targets = files.select("target_id").distinct().select("target_id", F.lit("SKILL.md").alias("entry"), F.lit(BUDGET).alias("budget"))
+    return sent_files(files, targets).select("target_id", "nr", "path", "status", F.length("content").alias("chars"), "not_listed")
+
+
+QUERIES = {"l3_sent_files": l3_sent_files, "f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
 
 _CASE = lambda key, values: f"(CASE {key} " + " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(values)) + " END)"
 _P = {name: _quoted(re2_pattern(p)) for name, p in (("link", LINK), ("path", PATH), ("folder", FOLDER), ("all", EVERYTHING))}
@@ -89,7 +104,22 @@ WITH files AS MATERIALIZED (
   FROM files f LEFT JOIN (SELECT target_id, content FROM files WHERE path = 'SKILL.md') m ON f.target_id = m.target_id
 )
 """
+_RAW = "substr(o.content, 1, greatest(least(4000, s.budget), 0) * 4)"
+_SHOWN = reduce(lambda x, p: f"regexp_replace({x}, {_quoted(re2_pattern(p))}, '[REDACTED]', 'g')", SECRETS, _RAW)
+_SENT = _TREES.replace("WITH files", "WITH RECURSIVE files", 1) + rf"""
+, o AS (
+  SELECT target_id, path, CASE WHEN length(content) % 11 = 5 THEN chr(0) ELSE '' END || content AS content, row_number() OVER (PARTITION BY target_id ORDER BY path <> 'SKILL.md', path) AS nr FROM files
+), steps AS (
+  SELECT DISTINCT target_id, 0::BIGINT AS nr, '' AS path, '' AS status, '' AS content, {BUDGET}::BIGINT AS budget FROM o
+  UNION ALL
+  SELECT target_id, nr, path, status, content, budget - length(content) FROM (
+    SELECT target_id, nr, path, budget, CASE WHEN most <= 0 THEN 'not-sent' WHEN contains(raw, chr(0)) THEN 'binary' WHEN size <= most * 4 AND length(shown) <= most THEN 'complete' ELSE 'truncated' END AS status,
+           CASE WHEN most <= 0 OR contains(raw, chr(0)) THEN '' ELSE substr(shown, 1, most) END AS content FROM (
+      SELECT o.target_id, o.nr, o.path, s.budget, least(4000, s.budget) AS most, strlen(o.content) AS size, {_RAW} AS raw, {_SHOWN} AS shown FROM o JOIN steps s ON o.target_id = s.target_id AND o.nr = s.nr + 1))
+)
+SELECT target_id, nr::INTEGER AS nr, path, status, length(content)::INTEGER AS chars, 0::BIGINT AS not_listed FROM steps WHERE nr > 0"""
 ORACLES = {
+    "l3_sent_files": _SENT,
     "f15_run_targets": _TREES
     + f"""SELECT DISTINCT f.target_id, f.path FROM files f WHERE f.path = {_CASE(f"doc_id // {len(PATHS)} % {len(RUNS)}", [r[1] or "" for r in RUNS])}
 AND EXISTS (FROM files m WHERE m.target_id = f.target_id AND m.path = 'SKILL.md')""",
