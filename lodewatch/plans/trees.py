@@ -12,6 +12,7 @@ from ..functions.patterns import re2_pattern
 from ..functions.text import SECRETS
 from ..operators.matching import first_per_line, match_all
 from ..operators.reachability import EVERYTHING, FOLDER, INERT, LINK, NOTE, OPERATIVE_NAMES, PATH, SUPPORTING_FOLDERS, demoted, file_roles, references
+from ..operators.installs import active_installs
 from ..operators.payload import sent_files
 from ..operators.run_targets import run_targets
 from ..staging import staged
@@ -75,7 +76,24 @@ def l3_sent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent_files(files, targets).select("target_id", "nr", "path", "status", F.length("content").alias("chars"), "not_listed")
 
 
-QUERIES = {"l3_sent_files": l3_sent_files, "f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
+CACHE, HERE = "/home/u/plugins/cache", "/work/3"
+
+
+def plugin_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each document is an install record of one of 97 plugins, and most are a setting of a layer, in one of seven projects."""
+    docs = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 97).alias("plugin"), F.concat(F.lit("/work/"), F.col("doc_id") % 7).alias("project"))
+    folder = F.when(F.col("doc_id") % 13 == 5, "/elsewhere").when(F.col("doc_id") % 13 == 6, CACHE + "/../out").otherwise(CACHE)
+    records = docs.select(F.concat(F.lit("p"), "plugin").alias("plugin_id"), F.when(F.col("doc_id") % 11 == 0, "managed").otherwise("user").alias("scope"), F.concat(folder, F.lit("/d"), "doc_id").alias("install_path"), F.when(F.col("doc_id") % 2 == 0, F.col("project")).alias("project_path"))
+    layer = (F.col("doc_id") % 3 + 1).cast("int")
+    settings = docs.filter(F.col("doc_id") % 5 < 3).select(layer.alias("layer"), F.when(layer > 1, F.col("project")).alias("project"), F.concat(F.lit("p"), "plugin").alias("plugin_id"), (F.col("doc_id") % 4 == 0).alias("enabled"))
+    return records, settings
+
+
+def f10_active_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return active_installs(*plugin_tables(spark, sf_dir), CACHE, HERE)
+
+
+QUERIES = {"f10_active_installs": f10_active_installs, "l3_sent_files": l3_sent_files, "f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
 
 _CASE = lambda key, values: f"(CASE {key} " + " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(values)) + " END)"
 _P = {name: _quoted(re2_pattern(p)) for name, p in (("link", LINK), ("path", PATH), ("folder", FOLDER), ("all", EVERYTHING))}
@@ -120,6 +138,12 @@ _SENT = _TREES.replace("WITH files", "WITH RECURSIVE files", 1) + rf"""
 SELECT target_id, nr::INTEGER AS nr, path, status, length(content)::INTEGER AS chars, 0::BIGINT AS not_listed FROM steps WHERE nr > 0"""
 ORACLES = {
     "l3_sent_files": _SENT,
+    "f10_active_installs": f"""
+WITH d AS (SELECT doc_id, 'p' || doc_id % 97 AS plugin, '/work/' || doc_id % 7 AS project, doc_id % 3 + 1 AS layer, doc_id % 4 = 0 AS enabled FROM documents
+), s AS (SELECT layer, CASE WHEN layer > 1 THEN project END AS project, plugin, bool_or(enabled) AS enabled FROM d WHERE doc_id % 5 < 3 GROUP BY ALL
+), r AS (SELECT doc_id, plugin, doc_id % 11 = 0 AS managed, CASE WHEN doc_id % 2 = 0 THEN project ELSE '{HERE}' END AS project FROM d WHERE doc_id % 13 NOT IN (5, 6))
+SELECT '{CACHE}/d' || doc_id AS install_path FROM r
+WHERE managed OR coalesce((SELECT arg_max(enabled, layer) FROM s WHERE s.plugin = r.plugin AND (s.project IS NULL OR s.project = r.project)), true)""",
     "f15_run_targets": _TREES
     + f"""SELECT DISTINCT f.target_id, f.path FROM files f WHERE f.path = {_CASE(f"doc_id // {len(PATHS)} % {len(RUNS)}", [r[1] or "" for r in RUNS])}
 AND EXISTS (FROM files m WHERE m.target_id = f.target_id AND m.path = 'SKILL.md')""",
