@@ -13,6 +13,7 @@ from ..functions.text import SECRETS
 from ..operators.matching import first_per_line, match_all
 from ..operators.reachability import EVERYTHING, FOLDER, INERT, LINK, NOTE, OPERATIVE_NAMES, PATH, SUPPORTING_FOLDERS, demoted, file_roles, references
 from ..operators.installs import active_installs
+from ..operators.passes import passes
 from ..operators.payload import sent_files
 from ..operators.run_targets import run_targets
 from ..staging import staged
@@ -93,7 +94,22 @@ def f10_active_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_installs(*plugin_tables(spark, sf_dir), CACHE, HERE)
 
 
-QUERIES = {"f10_active_installs": f10_active_installs, "l3_sent_files": l3_sent_files, "f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
+#: First lines of files, by remainder of the id, and the extension of the language that they name.
+HEADS = (("", ""), ("#!/bin/bash", ".sh"), ("#!/usr/bin/env python3.12", ".py"), ("#!/usr/bin/env -S A=1 node --x", ".js"), ("#!/usr/bin/perl", ""), (" #!/bin/sh", ""), ("#!/opt/x/zsh -e", ".sh"))
+TOOL_NAMES = ("tool", "tool.sh", "tool.py", "Makefile", "run.js")
+
+
+def m1_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scripts behind a first line; every tenth has two names from discovery."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    of = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    given = F.when(F.col("doc_id") % 10 == 9, F.array(F.lit("hook.sh"), F.lit("hook.py")))
+    content = F.concat(of([h[0] for h in HEADS], F.col("doc_id")), F.lit("\n"), "text")
+    files = docs.select(F.lit("t").alias("target_id"), F.concat("doc_id", F.lit("/"), of(TOOL_NAMES, F.col("doc_id"))).alias("path"), content.alias("content"), given.alias("scan_names"))
+    return passes(files).select("path", "pass", "scan_path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+QUERIES = {"m1_passes": m1_passes, "f10_active_installs": f10_active_installs, "l3_sent_files": l3_sent_files, "f15_run_targets": f15_run_targets, "f13_references": f13_references, "f14_file_roles": f14_file_roles, "f17_demoted_findings": f17_demoted_findings}
 
 _CASE = lambda key, values: f"(CASE {key} " + " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(values)) + " END)"
 _P = {name: _quoted(re2_pattern(p)) for name, p in (("link", LINK), ("path", PATH), ("folder", FOLDER), ("all", EVERYTHING))}
@@ -138,6 +154,11 @@ _SENT = _TREES.replace("WITH files", "WITH RECURSIVE files", 1) + rf"""
 SELECT target_id, nr::INTEGER AS nr, path, status, length(content)::INTEGER AS chars, 0::BIGINT AS not_listed FROM steps WHERE nr > 0"""
 ORACLES = {
     "l3_sent_files": _SENT,
+    "m1_passes": f"""
+WITH d AS (SELECT doc_id, {_CASE(f"doc_id % {len(HEADS)}", [h[0] for h in HEADS])} || chr(10) || coalesce(text, '') AS content, {_CASE(f"doc_id % {len(HEADS)}", [h[1] for h in HEADS])} AS ext,
+                  {_CASE(f"doc_id % {len(TOOL_NAMES)}", TOOL_NAMES)} AS name FROM documents
+), n AS (SELECT *, CASE WHEN doc_id % 10 = 9 THEN ['hook.sh', 'hook.py'] WHEN ext <> '' AND NOT ends_with(name, ext) THEN [name, name || ext] ELSE [name] END AS names FROM d)
+SELECT doc_id || '/' || name AS path, (generate_subscripts(names, 1) - 1)::INTEGER AS pass, doc_id || '/' || unnest(names) AS scan_path, md5(content) AS content_md5 FROM n""",
     "f10_active_installs": f"""
 WITH d AS (SELECT doc_id, 'p' || doc_id % 97 AS plugin, '/work/' || doc_id % 7 AS project, doc_id % 3 + 1 AS layer, doc_id % 4 = 0 AS enabled FROM documents
 ), s AS (SELECT layer, CASE WHEN layer > 1 THEN project END AS project, plugin, bool_or(enabled) AS enabled FROM d WHERE doc_id % 5 < 3 GROUP BY ALL
