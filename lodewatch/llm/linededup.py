@@ -179,16 +179,22 @@ class LineRuns:
             return staged(reduce(DataFrame.unionByName, parts), "surplus")
 
 
+def lost_keys(keys: DataFrame, surplus: DataFrame) -> DataFrame:
+    """(id, lost): the keys of each document that are surplus and not the last.
+
+    Nothing behind the join in its stage needs its partitioning, so adaptive execution may split a line that very many hold.
+    """
+    lost = keys.join(surplus, KEY).filter("id <> last").select("id", F.struct(*KEY).alias("key"))
+    return lost.groupBy("id").agg(F.collect_set("key").alias("lost"))
+
+
 def surplus_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES) -> DataFrame:
     """(id, keys): the keys that each document loses, as the bytes of one key after another."""
     keys = staged(line_keys(docs, min_chars), "line-keys")
     runs = LineRuns.new(docs.sparkSession)
     for b in range(batches):
         runs.add(keys.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    surplus = runs.surplus(min_docs)
-    # nothing behind the join in its stage needs its partitioning, so adaptive execution may split a line that very many hold
-    lost = keys.join(surplus, KEY).filter("id <> last").select("id", F.struct(*KEY).alias("key"))
-    return staged(lost.groupBy("id").agg(F.collect_set("key").alias("lost")), "lost-lines")
+    return staged(lost_keys(keys, runs.surplus(min_docs)), "lost-lines")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:

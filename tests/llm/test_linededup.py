@@ -54,3 +54,21 @@ def test_lines_of_awkward_documents(spark):
     got = linededup.dedup_lines(table, batches=3).collect()
     assert sorted(map(repr, ((r[0], r[1], r[2], r[3]) for r in got))) == sorted(map(repr, cleaned(rows, 3, 20)))
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_line_of_a_third_of_all_documents_is_split(spark, tmp_path):
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.files.maxPartitionBytes": "64k"}
+    keys = spark.range(60_000).selectExpr("id", "if(id % 3 = 0, 1L, id * 7919) AS h1", "if(id % 3 = 0, 2L, id) AS h2")
+    keys.write.parquet(f"{tmp_path}/keys")
+    spark.createDataFrame([(1, 2, 59_997)], "h1 long, h2 long, last long").write.parquet(f"{tmp_path}/surplus")
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        lost = linededup.lost_keys(spark.read.parquet(f"{tmp_path}/keys"), spark.read.parquet(f"{tmp_path}/surplus"))
+        rows = lost.collect()
+        assert "isFinalPlan=true" in (plan := lost._jdf.queryExecution().executedPlan().toString()) and "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 19_999 and all(r.lost == [(1, 2)] for r in rows)
