@@ -34,10 +34,15 @@ def interpreter_of(content: Column) -> Column:
     return F.when(head.startswith("#!"), F.regexp_replace(basename(named), r"\d[\d.]*\z", ""))
 
 
+def language_of(program: Column) -> Column:
+    """The extension of the language that a program runs, whatever its folder and version; null for others."""
+    extensions = F.create_map(*[F.lit(x) for pair in INTERPRETERS.items() for x in pair])
+    return F.try_element_at(extensions, F.regexp_replace(basename(program), r"\d[\d.]*\z", ""))
+
+
 def shebang_name(path: Column, content: Column) -> Column:
     """The file's name with the extension of the language that runs it, if that isn't its own."""
-    extensions = F.create_map(*[F.lit(x) for pair in INTERPRETERS.items() for x in pair])
-    extension = F.try_element_at(extensions, interpreter_of(content))
+    extension = language_of(interpreter_of(content))
     name = basename(path)
     return F.when(extension.isNotNull() & ~name.endswith(extension), F.concat(name, extension))
 
