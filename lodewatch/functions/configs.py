@@ -221,3 +221,22 @@ def values_of(text: str | None, dialect: str | None) -> list[Value] | None:
     if text is None or dialect is None:
         return None
     return toml_values(text) if dialect == "toml" else json_values(text, dialect)
+
+
+def split_members(text: str | None, key: str) -> tuple[list[tuple[str, int, str]], str] | None:
+    """The members of the root's object ``key``, as (name, line, text), and the document with that object blank.
+
+    None if it isn't strict JSON, or gives the object, or a member of it, twice.
+    """
+    found = values_of(text, "json") or []
+    maps = [v for v in found if v.keys == (key,)]
+    members = [v for v in found if len(v.keys) == 2 and v.keys[0] == key]
+    if len(maps) != 1 or maps[0].kind != "object" or len({v.keys for v in members}) < len(members):
+        return None
+    out, line, at = [], 1, 0
+    for v in members:
+        line += text.count("\n", at, v.key_start)
+        at = v.key_start
+        out.append((v.keys[1], line, text[v.key_start : v.end]))
+    start, end = maps[0].start + 1, maps[0].end - 1
+    return out, text[:start] + re.sub(r"[^\n\r]", " ", text[start:end]) + text[end:]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.commands import COMMAND_KEYS, CONFIG_NAMES, command_view, named_files
-from ..functions.configs import values_of
+from ..functions.configs import split_members, values_of
 from ..plans.catalog import RULES, Rule
 from .inventory import basename
 from .matching import match_all
@@ -136,27 +136,30 @@ def with_hook_names(files: DataFrame, scripts: DataFrame) -> DataFrame:
     return files.join(scripts, ["target_id", "path"], "left")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("server", T.StringType()), T.StructField("first_line", T.IntegerType()), T.StructField("rule_scan_content", T.StringType())])))
+def _parts(content: pd.Series) -> pd.Series:
+    def of(text: str | None) -> list[dict]:
+        members, rest = split_members(text, SERVERS) or ([], text)
+        servers = [{"server": name, "first_line": line, "rule_scan_content": f'{{ "{SERVERS}": {{ {own} }} }}'} for name, line, own in members]
+        return [*servers, {"server": None, "first_line": 1, "rule_scan_content": rest}]
+
+    return pd.Series([of(x) for x in content], dtype=object)
+
+
 def split_servers(files: DataFrame) -> DataFrame:
-    """(target_id, path, server, scan_names, rule_scan_content): settings in parts, each matched by itself.
+    """(target_id, path, server, first_line, rule_scan_content): settings in parts, each matched by itself.
 
-    Each server is a document of one server, whose lines are those of the file. ``server`` is null for what is left of the
-    file, in which the servers are blank. A file that isn't strict JSON, has no map of servers, or gives the map or a server twice
-    stays whole, as one part.
+    Each server is a document of one server, whose first line is line ``first_line`` of the file. ``server`` is null for what
+    is left of the file, in which the servers are blank. A file that isn't strict JSON, has no map of servers, or gives the
+    map or a server twice stays whole, as one part. The parts together are no longer than the file and one line a server.
     """
-    files = files.select("target_id", "path", "content").dropDuplicates(["target_id", "path"])
-    values = config_values(files).filter("dialect = 'json'")
-    below = values.filter(F.get("keys", F.lit(0)) == SERVERS)
-    name = F.get("keys", F.lit(1))
-    depth = F.size("keys")
-    maps = below.filter(depth <= 2).groupBy("target_id", "path").agg(
-        F.count_if(depth == 1).alias("maps"), F.count_if((depth == 1) & (F.col("kind") == "object")).alias("objects"), F.count_if(depth == 2).alias("servers"), F.count_distinct(F.when(depth == 2, name)).alias("names"),
-        F.max(F.when(depth == 1, F.col("start"))).alias("map_start"), F.max(F.when(depth == 1, F.col("end"))).alias("map_end"))
-    maps = maps.filter("maps = 1 AND objects = 1 AND servers = names").select("target_id", "path", "map_start", "map_end")
-    kept_lines = lambda text: F.regexp_replace(text, r"[^\n\r]", "")
-    cut = lambda start, end: F.substring(F.col("content"), F.col(start) + 1, F.col(end) - F.col(start))
-    servers = below.filter(depth == 2).join(maps, ["target_id", "path"], "left_semi").select("target_id", "path", name.alias("server"), "key_start", "end")
-    parts = servers.join(files, ["target_id", "path"]).select("target_id", "path", "server", F.array(F.lit(SERVER_NAME)).alias("scan_names"), F.concat(kept_lines(F.substring(F.col("content"), F.lit(1), F.col("key_start"))), F.lit(f'{{ "{SERVERS}": {{ '), cut("key_start", "end"), F.lit(" } }")).alias("rule_scan_content"))
-    rest = files.join(maps, ["target_id", "path"], "left")
-    blank = F.concat(F.substring(F.col("content"), F.lit(1), F.col("map_start") + 1), F.regexp_replace(F.substring(F.col("content"), F.col("map_start") + 2, F.col("map_end") - F.col("map_start") - 2), r"[^\n\r]", " "), F.substring(F.col("content"), F.col("map_end"), F.length("content")))
-    rest = rest.select("target_id", "path", F.lit(None).cast("string").alias("server"), F.lit(None).cast("array<string>").alias("scan_names"), F.coalesce(blank, F.col("content")).alias("rule_scan_content"))
-    return parts.unionByName(rest)
+    return files.select("target_id", "path", F.explode(_parts("content")).alias("part")).select("target_id", "path", "part.*")
+
+
+def match_parts(parts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What ``match_all`` finds in each part, with ``server``, at the lines of the file. A server has the rules of its own kind of file."""
+    key = F.struct("target_id", "path", "server", "first_line").alias("target_id")
+    scan_path = F.when(F.col("server").isNull(), F.col("path")).otherwise(SERVER_NAME)
+    found = match_all(parts.select(key, scan_path.alias("path"), F.col("rule_scan_content").alias("content")), rules).drop("path")
+    own = [c for c in found.columns if c not in ("target_id", "line")]
+    return found.select("target_id.target_id", "target_id.path", "target_id.server", (F.col("line") + F.col("target_id.first_line") - 1).alias("line"), *own)

@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodewatch.plans import inventory, queries, reports, trees
+from lodewatch.plans import configs, inventory, queries, reports, trees
 
-ORACLES = {**queries.ORACLES, **inventory.ORACLES, **reports.ORACLES, **trees.ORACLES}
-QUERIES = {**queries.QUERIES, **inventory.QUERIES, **reports.QUERIES, **trees.QUERIES}
+ORACLES = {**queries.ORACLES, **inventory.ORACLES, **reports.ORACLES, **trees.ORACLES, **configs.ORACLES}
+QUERIES = {**queries.QUERIES, **inventory.QUERIES, **reports.QUERIES, **trees.QUERIES, **configs.QUERIES}
 
 SF = Path("/root/testdata/sf0.001")
 
