@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,38 @@ def folder_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
 
 
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of runs of lines that come in order; no more than a batch is held."""
+    target, digest, done = None, None, []
+    for batch in batches:
+        for owner, line, lone in batch.itertuples(index=False):
+            if digest is None or owner != target:
+                if digest is not None:
+                    done.append((target, digest if isinstance(digest, str) else digest.hexdigest()))
+                target, digest = owner, lone if isinstance(lone, str) else hashlib.sha256(line.encode())
+            elif not isinstance(digest, str):
+                digest.update(b"\n" + line.encode())
+        yield pd.DataFrame(done, columns=["target_id", "tree_sha256"])
+        done = []
+    if digest is not None:
+        yield pd.DataFrame([(target, digest if isinstance(digest, str) else digest.hexdigest())], columns=["target_id", "tree_sha256"])
+
+
 def tree_hash(files: DataFrame) -> DataFrame:
-    """(target_id, tree_sha256): the hash of the sorted lines ``path:sha256`` of each target's files (target_id, rel_path, sha256)."""
-    lines = F.sort_array(F.collect_list(F.concat_ws(":", "rel_path", "sha256")))
-    return files.groupBy("target_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree_sha256"))
+    """(target_id, tree_sha256): the hash of the sorted lines of each target's files (target_id, rel_path, sha256 and, if wanted, alias).
+
+    A line is ``path:sha256``, or ``path:alias:place`` for a link to a folder of the target that is listed at ``alias``. A
+    target that is one file (empty rel_path) has the hash of the file. Rows without a hash or alias can't be read and are left
+    out; a target whose rows are all so has the hash ''. Repeated rows count once. A hash takes its lines one after the other, so a
+    target's lines go through one task, sorted by Spark and read as a stream: that task holds one batch of them.
+    """
+    alias = F.col("alias") if "alias" in files.columns else F.lit(None).cast("string")
+    line = F.when(alias.isNotNull(), F.concat("rel_path", F.lit(":alias:"), alias)).otherwise(F.concat("rel_path", F.lit(":"), F.col("sha256")))
+    rows = files.select("target_id", line.alias("line"), F.when((F.col("rel_path") == "") & alias.isNull(), F.col("sha256")).alias("lone")).distinct()
+    lines = rows.filter("line IS NOT NULL").repartition("target_id").sortWithinPartitions("target_id", F.col("lone").isNull(), "line")
+    hashed = lines.mapInPandas(_fold, f"target_id {files.schema['target_id'].dataType.simpleString()}, tree_sha256 string")
+    unread = files.groupBy("target_id").agg(F.count_if(line.isNotNull()).alias("n")).filter("n = 0").select("target_id", F.lit("").alias("tree_sha256"))
+    return hashed.unionByName(unread)
 
 
 def path_targets(files: DataFrame) -> DataFrame:
