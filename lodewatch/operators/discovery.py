@@ -54,10 +54,10 @@ def roots(listing: DataFrame, machines: DataFrame, plugins: DataFrame | None = N
 
 
 def installed_agents(listing: DataFrame, machines: DataFrame) -> DataFrame:
-    """(machine, agent_id): the agents of which a file lies in a folder of theirs at home; instructions of all agents are always read."""
+    """(machine, agent_id): the agents of which a file lies in a folder of theirs, at home or in the working folder; instructions of all agents are always read."""
     spark = listing.sparkSession
-    signs = F.broadcast(spark.createDataFrame(list(INSTALLED), "agent_id string, below string"))  # a dozen constant rows
-    wanted = machines.join(signs).select("machine", "agent_id", F.concat("home", F.lit("/"), "below").alias("folder"))
+    signs = F.broadcast(spark.createDataFrame(list(INSTALLED), "agent_id string, at string, below string"))  # a dozen constant rows
+    wanted = machines.join(signs).select("machine", "agent_id", F.concat(F.when(F.col("at") == "home", F.col("home")).otherwise(F.col("cwd")), F.lit("/"), "below").alias("folder"))
     found = _folders(listing).join(wanted, ["machine", "folder"]).select("machine", "agent_id")
     return found.unionByName(machines.select("machine", F.lit("cross-agent").alias("agent_id"))).distinct()
 

@@ -10,8 +10,9 @@ SKILL = "SKILL.md"
 # fixed values: agents that read the shared folder of skills, and folders that show that an agent is installed
 SHARED_READERS = ("codex", "cursor", "copilot", "gemini", "windsurf", "cline", "opencode", "amp")
 INSTALLED = (
-    ("claude-code", ".claude"), ("cursor", ".cursor"), ("copilot", ".copilot"), ("cline", ".cline"), ("cline", "Documents/Cline"), ("codex", ".codex"), ("gemini", ".gemini"),
-    ("windsurf", ".codeium"), ("opencode", ".config/opencode"), ("opencode", ".local/share/opencode"), ("amp", ".config/amp"), ("openclaw", ".openclaw"),
+    ("claude-code", "home", ".claude"), ("cursor", "home", ".cursor"), ("copilot", "home", ".copilot"), ("cline", "home", ".cline"), ("cline", "home", "Documents/Cline"), ("cline", "home", "Cline"),
+    ("cline", "project", ".clinerules"), ("cline", "project", ".cline"), ("codex", "home", ".codex"), ("gemini", "home", ".gemini"), ("windsurf", "home", ".codeium/windsurf"), ("windsurf", "project", ".windsurf/rules"),
+    ("opencode", "home", ".config/opencode"), ("opencode", "home", ".local/share/opencode"), ("amp", "home", ".config/amp"), ("openclaw", "home", ".openclaw"),
 )
 # fixed values: shared instruction files, and what is never loaded
 SWEPT = ("AGENTS.md", "AGENTS.override.md", "AGENT.md", "CLAUDE.md", "GEMINI.md", ".cursorrules", ".windsurfrules", "CONVENTIONS.md")
@@ -97,7 +98,9 @@ PLACES: tuple[tuple[str, str, str, str, str | None], ...] = (
     ("openclaw", "home", ".openclaw/skills/**/SKILL.md", SKILL, None),
     ("openclaw", "home", ".openclaw/agents/*/agent/workshop-skills/**/SKILL.md", SKILL, None),
     ("openclaw", "home", ".openclaw/hooks/*/HOOK.md", "hook-md", None),
-    ("openclaw", "home", ".openclaw/workspace/*.md", "agents-md", None),
+    ("openclaw", "home", ".openclaw/workspace/skills/**/SKILL.md", SKILL, None),
+    ("openclaw", "home", ".openclaw/workspace/.agents/skills/**/SKILL.md", SKILL, None),
+    *(("openclaw", "home", f".openclaw/workspace/{name}.md", "agents-md", None) for name in ("AGENTS", "SOUL", "USER", "IDENTITY", "BOOT", "BOOTSTRAP", "MEMORY", "TOOLS", "HEARTBEAT")),
     ("openclaw", "home", ".agents/skills/**/SKILL.md", SKILL, None),
     # the same in several roots, folders or files
     *(("cursor", root, place, kind, name) for root in ("home", "project") for place, kind, name in ((".cursor/mcp.json", "mcp-json", None), (".cursor/hooks.json", "agent-config", None), (".cursor/skills/**/SKILL.md", SKILL, None), (".cursor/agents/**/*.md", "agent-md", None), (".cursor/agents/**/*.mdc", "agent-md", None))),

@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodewatch.plans import configs, inventory, outcomes, queries, reports, trees
+from lodewatch.plans import configs, discovery, inventory, outcomes, queries, reports, trees
 
-ORACLES = {**queries.ORACLES, **inventory.ORACLES, **reports.ORACLES, **trees.ORACLES, **configs.ORACLES, **outcomes.ORACLES}
-QUERIES = {**queries.QUERIES, **inventory.QUERIES, **reports.QUERIES, **trees.QUERIES, **configs.QUERIES, **outcomes.QUERIES}
+ORACLES = {**queries.ORACLES, **inventory.ORACLES, **reports.ORACLES, **trees.ORACLES, **configs.ORACLES, **discovery.ORACLES, **outcomes.ORACLES}
+QUERIES = {**queries.QUERIES, **inventory.QUERIES, **reports.QUERIES, **trees.QUERIES, **configs.QUERIES, **discovery.QUERIES, **outcomes.QUERIES}
 
 SF = Path("/root/testdata/sf0.001")
 
