@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.places import INSTALLED, NEVER, PLACES, SKILL
+from ..plans.places import HOOK, INSTALLED, NEVER, PLACES, SKILL
 from .dedupe import neighbours
 from .inventory import ancestors, basename, dirname
 
@@ -70,7 +70,7 @@ def _folders(listing: DataFrame) -> DataFrame:
 def discovered(listing: DataFrame, machines: DataFrame, plugins: DataFrame | None = None, agent: str | None = None, marketplaces: bool = False) -> DataFrame:
     """(machine, agent_id, scope, format, path, manifest_path, scan_name) of all that installed agents load.
 
-    A target of a skill is its folder, any other its file. Caches and bins of plugins are never read, but for active
+    A target of a skill or hook is its folder, any other its file. Caches and bins of plugins are never read, but for active
     ``plugins``; what lies in marketplaces only with ``marketplaces``. ``agent`` asks for one alone.
     """
     spark = listing.sparkSession
@@ -86,6 +86,6 @@ def discovered(listing: DataFrame, machines: DataFrame, plugins: DataFrame | Non
     found = found.filter(F.col("active") | ~never)
     if not marketplaces:
         found = found.filter(F.col("active") | ~neighbours(F.col("path"), "plugins", "marketplaces"))
-    path = F.when(F.col("format") == SKILL, dirname(F.col("path"))).otherwise(F.col("path"))
+    path = F.when(basename(F.col("path")).isin(SKILL, HOOK), dirname(F.col("path"))).otherwise(F.col("path"))
     rows = found.select("machine", "agent_id", "scope", "format", path.alias("path"), F.col("path").alias("manifest_path"), F.coalesce("scan_name", basename(F.col("path"))).alias("scan_name"))
     return rows.distinct()

@@ -18,7 +18,7 @@ FILES = (
 #: What each of these files is: its number, agent, scope, format and the name that selects rules (that of the file without one).
 MEANT = (
     (0, "claude-code", "user", "SKILL.md", ""), (0, "copilot", "user", "SKILL.md", ""), (1, "claude-code", "project", "agents-md", ""), (2, "cross-agent", "project", "agents-md", ""), (3, "codex", "user", "SKILL.md", ""), (3, "cursor", "user", "SKILL.md", ""), (3, "copilot", "user", "SKILL.md", ""),
-    (4, "cursor", "user", "agent-md", ""), (6, "codex", "user", "command-md", ""), (10, "copilot", "user", "agent-config", "hooks.json"), (13, "copilot", "project", "mcp-json", ".mcp.json"), (14, "claude-code", "user", "SKILL.md", ""), (15, "claude-code", "project", "mcp-json", ""),
+    (4, "cursor", "user", "agents-md", ""), (6, "codex", "user", "prompt-md", ""), (10, "copilot", "user", "agent-config", "hooks.json"), (13, "copilot", "project", "mcp-json", ".mcp.json"), (14, "claude-code", "user", "SKILL.md", ""), (15, "claude-code", "project", "mcp-json", ""),
 )
 #: The file that shows that an agent is there; on every third machine the files of one of them are elsewhere.
 SIGNS = (("claude-code", (0, 8, 9, 14)), ("cursor", (4,)), ("codex", (6,)), ("copilot", (10,)))
