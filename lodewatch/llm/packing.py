@@ -14,8 +14,11 @@ are cut; an empty table gives no rows; extra columns are left alone.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,65 +32,98 @@ WINDOW_TOKENS, WINDOW_DOCS = 1 << 22, 1 << 16
 #: New words after which a task's cache of ids starts afresh; words of the cache before are still found and carried on.
 CACHE_WORDS = 1 << 19
 
+#: Letters of one code point that no neighbour among them and no normal form changes, then marks of ASCII.
+PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+#: What a tokenizer file says that does nothing across white space and cuts letters from marks before its merges.
+WORD_PARTS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
+class _Known(dict):
+    """Ids of words as bytes. A word that is asked for the first time is found, or carried on from the words before."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        self.find, self.before = find, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(word)
+        self[word] = ids = self.find(word) if ids is None else ids
+        return ids
+
+
+def _splits_words(path: str) -> bool:
+    """Whether the tokenizer file at ``path`` normalises and splits as ``word_bpe_49k.json`` does, so that words can be taken one by one."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    marked = all(t["content"].startswith("<|") and not t["normalized"] for t in parts.get("added_tokens") or [])
+    return marked and all(parts.get(name) == value for name, value in WORD_PARTS.items())
+
+
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids by the tokenizer file at ``path``, one for each worker process.
 
-    The tokenizer splits at white space before its merges, so words can be looked up one by one; a word that ends in
-    letters and then full stops or commas is looked up without them.
+    A tokenizer of ``WORD_PARTS`` splits at white space before its merges, so words are looked up one by one. New words
+    of letters and then marks are cut where it cuts them, and the letters go straight to its merges, which is all that
+    it would do to them. Any other word goes through the whole tokenizer, and with any other tokenizer the whole text.
     """
     if path in _encoders:
         return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
     from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    kind = "<u2" if max(model.get_vocab().values(), default=0) < 1 << 16 else "<u4"
-    known: dict[bytes, bytes] = {}
-    before: dict[bytes, bytes] = {}
-    ids_of = lambda words: [np.array(e.ids, kind).tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(words: set[bytes]) -> None:
-        if len(known) > CACHE_WORDS:
-            before.clear()
-            before.update(known)
-            known.clear()
-        carried = {w: before[w] for w in words if w in before}
-        known.update(carried)
-        words = {w for w in words if w not in carried}
-        split, new = {}, set()
-        for w in words:
-            core = w.rstrip(b".,")
-            if core != w and core and (text := core.decode())[-1].isalpha() and text[-1].isascii():
-                split[w] = core, w[len(core) :]
-                new.update(x for x in split[w] if x not in known)
-            else:
-                new.add(w)
-        new_words = list(new)
-        known.update(zip(new_words, ids_of([w.decode() for w in new_words]), strict=True))
-        for w, (core, mark) in split.items():
-            known[w] = known[core] + known[mark]
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model, by_words = Tokenizer.from_file(path), _splits_words(path)
+    code = "H" if max(model.get_vocab().values(), default=0) < 1 << 16 else "I"
+    merges, byte_level = model.model, ByteLevel(add_prefix_space=False, use_regex=False)
+    as_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+    whole = lambda text: array(code, model.encode(text, add_special_tokens=False).ids).tobytes()
+    merged = lambda letters: array(code, [t.id for t in merges.tokenize(letters.lower().translate(as_bytes))]).tobytes()
+
+    def find(word: bytes) -> bytes:
+        text = word.decode()
+        cut = PLAIN_WORD.fullmatch(text)
+        if not cut:
+            return whole(text)
+        letters, marks = cut.groups()
+        if not marks:
+            return merged(letters)
+        core = letters.encode()
+        if core not in known:
+            known[core] = known.before.get(core) or merged(letters)
+        return known[core] + known[marks.encode()]
+
+    known = _Known(find)
 
     def encode(text: str) -> np.ndarray:
         data = text.encode()
-        if b"<|" in data:  # a special token's string counts only in its own case
-            return np.array(model.encode(text, add_special_tokens=False).ids, kind)
-        words = data.lower().split()
-        found = list(map(known.get, words))
-        if None in found:
-            learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = [known[w] if w in known else before[w] for w in words]
-        return np.frombuffer(b"".join(found), kind)
+        if not by_words or b"<|" in data:  # a special token's string counts only in its own case
+            return np.frombuffer(whole(text), code)
+        # H and a line below stay two characters, h and the line become one: before such marks (U+0300 to U+037F) case stays
+        words = (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), code)
 
     def forget() -> None:
         known.clear()
-        before.clear()
+        known.before = {}
 
-    encode.forget, encode.kind = forget, kind
+    encode.forget, encode.kind = forget, np.dtype(code)
     _encoders[path] = encode
     return encode
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import tokenizers
 
 from lodewatch.llm import packing
 
@@ -69,3 +70,53 @@ def test_vocabularies_beyond_two_bytes(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs.coalesce(1), str(path), capacity=8, with_ids=True).collect() if r.start == 0}
     assert got == {1: [70_000, 70_001, 70_000, 2], 2: [2]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_are_those_of_the_whole_tokenizer(monkeypatch, seed):
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)  # words are carried on from one cache to the next, too
+    path, rng = packing.public_tokenizer(), random.Random(seed)
+    encode, model = packing.encoder(path), tokenizers.Tokenizer.from_file(path)
+    whole = lambda text: model.encode(text, add_special_tokens=False).ids
+    # upper case before marks that join with lower-case letters alone; letters that change in length; white space of other scripts
+    letters = "abhtwyjABHTWYJIiK\u00df\u1e9e\u00c0\u00c9\u00d6\u00d8\u00e9\u00f6\u00f8\u00ff\u00f7\u00d7\u00aa\u00ba\u00b5\u0131\u0130\u017f\u03a3\u03c3\u03c2\u0410\u4e2d\u3042\u212a\ufb01\uac00"
+    rest = "\u0300\u0308\u030a\u030c\u0331\u0338\u0345\u0301'.,*<|>_-=59\u2460\u0663 \t\n\x0b\x0c\r\x00\x1c\x85\u00a0\u2028\u200d"
+    for text in ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c h\u0331", "Don't dogs'*** l' 's \u00c9COLE, \u00e9cole. stra\u00dfe\u00f7", "<|endoftext|> <|ENDOFTEXT|>", ""]:
+        assert encode(text).tolist() == whole(text), ascii(text)
+    for _ in range(3000):
+        text = "".join(rng.choice(letters + rest) for _ in range(rng.randrange(1, 14)))
+        assert encode(text).tolist() == whole(text), ascii(text)
+
+
+def test_new_words_of_letters_need_only_the_merges(monkeypatch):
+    """The whole tokenizer takes about four times as long for a new word, and a large table always has new words."""
+    taken = []
+
+    class Counted:
+        def __init__(self, model):
+            self.inner = model
+
+        @classmethod
+        def from_file(cls, path, inner=tokenizers.Tokenizer):
+            return cls(inner.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode(self, text, **how):
+            taken.append(text)
+            return self.inner.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            taken.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(packing, "_encoders", {})
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeinrst\u00e9\u00df") for _ in range(9)) + rng.choice(["", ",", ".", "***"]) for _ in range(2000)]
+    encode = packing.encoder(packing.public_tokenizer())
+    got = encode(" ".join(words)).tolist()
+    assert set(taken) <= {",", ".", "***"}
+    assert got == Counted.from_file(packing.public_tokenizer()).inner.encode(" ".join(words), add_special_tokens=False).ids
