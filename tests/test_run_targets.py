@@ -1,5 +1,7 @@
 """Files that manifests tell to run."""
 
+import time
+
 import pytest
 
 from lodewatch.operators.run_targets import run_targets
@@ -46,3 +48,14 @@ def test_commands_of_settings(spark):
     none = spark.createDataFrame([], "target_id string, content string")
     commands = spark.createDataFrame([("t", 'bash "${ROOT}"/docs/setup.sh'), ("u", "docs/a.sh"), ("t", None), ("t", "x=deep/go.sh; y")], "target_id string, command string")
     assert {r.path for r in run_targets(files, none, commands).collect()} == {"docs/setup.sh", "tools/deep/go.sh"}
+
+
+def test_a_long_line_and_many_files(spark):
+    """No row holds a word with its whole line, and no row all names of a target."""
+    names = [f"d/f{i}.sh" for i in range(1500)]
+    line = " ".join(f"word d/f{i % 1500}.sh" for i in range(12_000)) + ". Then run d/f7.sh or a word. So d/f8.sh `sh d/f1400.sh`"
+    files = spark.createDataFrame([("t", p) for p in [*names, "d/odd file.sh"]], "target_id string, path string")
+    manifests = spark.createDataFrame([("t", f"{line}\n{'d/odd file.sh ' * 5_000}. exec 'd/odd file.sh'")], "target_id string, content string")
+    began = time.time()
+    assert {r.path for r in run_targets(files, manifests).collect()} == {"d/f7.sh", "d/f1400.sh", "d/odd file.sh"}
+    assert time.time() - began < 60
