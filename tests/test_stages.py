@@ -2,12 +2,20 @@
 
 import pytest
 
-from lodewatch.plans import queries
+from lodewatch.operators import ordering
+from lodewatch.plans import inventory, queries
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("made", [queries.seeded_summaries])
+@pytest.mark.parametrize("made", [queries.seeded_summaries, queries.viewed_summaries])
 def test_summaries_read_findings(spark, made):
     plan = made(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "regexp_replace" not in plan
+
+
+def test_highlight_reads_summaries(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordering, "staged", lambda df, name, own=ordering.staged: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), own(df, name))[1])
+    inventory.o5_highlight(spark, DATA)
+    assert len(seen) == 1 and "Aggregate" not in seen[0] and "Join" not in seen[0]
