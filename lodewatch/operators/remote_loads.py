@@ -18,19 +18,22 @@ are left alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SPACE_CHARS, java_pattern
 from ..functions.views import QUOTED, tagged_code
 from ..staging import staged
-from .matching import MARK, dealt
+from .matching import MARK
 
 RULE_ID, SEVERITY = "DEPS-REMOTE-IMPORT", "critical"
 # fixed values: the message, and the calls that load, download, write and run
 MESSAGE = "Remote URL import detected — code fetched from the network with no integrity check."
 EXTENSIONS = ("js", "ts", "mjs", "cjs", "jsx", "tsx", "py")
-HINT = r"https?://|curl|wget|urlretrieve|writeFile|appendFile|createWriteStream|httpimport|\bopen\s*\("
+HINTS = ("http://", "https://", "curl", "wget", "urlretrieve", "writeFile", "appendFile", "createWriteStream", "httpimport")
+OPENS = r"\bopen\s*\("
 JS_WRITES = "writeFileSync|writeFile|appendFileSync|appendFile|createWriteStream"
 JS_NETWORK = r"(?<![\w$])(?:fetch|got|axios(?:\.\w+)?)\s*\(|\bhttps?\.(?:get|request)\s*\("
 PY_NETWORK = r"\b(?:urlopen|urlretrieve)\s*\(|\b(?:requests|httpx)\.\w+\s*\("
@@ -87,6 +90,15 @@ PY_FACTS = {
 }
 
 
+#: Where a fact may begin: a word, or a character of strings and brackets. Most places are neither, and there no fact is tried.
+MAY_BEGIN = rf"(?:(?<![A-Za-z0-9_])(?=[A-Za-z_$])|(?=[rRbBuUfF\"'`()\[\]{{}}{_any_in_string('&|;$')[1:-1]}]))"
+
+
+def _hinted(text: Column) -> Column:
+    """Whether the text may download or load from the network; words are searched for, which takes less time than a pattern."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in HINTS]) | (F.contains(text, F.lit("open")) & F.regexp_like(text, F.lit(OPENS)))
+
+
 def _plain(text: Column) -> Column:
     return F.translate(text, _MOVED, _PLAIN)
 
@@ -105,21 +117,25 @@ def _after(piece: Column, head: str) -> Column:
     return _plain(F.regexp_extract(piece, java_pattern(rf"^(?:{head})\s*{_PREFIX}(['\"`])({_INSIDE}+)\1"), 2))
 
 
+FILE = ["target_id", "path"]
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """(target_id, path, python, seq, kind, piece, before, next, line, column): what stands in each file, in order.
+    """(target_id, path, python, seq, kind, piece, last, next, line, column): what stands in each file, in order.
 
-    A piece goes from a fact to the next one; ``before`` and ``next`` are the pieces around it.
+    A piece goes from a fact to the next one; ``last`` is the word or mark that stands before it, ``next`` the piece behind it.
     """
-    rows = files.select("target_id", "path", "content").filter(F.regexp_extract("path", r"\.(\w+)$", 1).isin(*EXTENSIONS) & F.regexp_like("content", F.lit(HINT)))
-    rows = dealt(rows).distinct()
+    rows = files.select("target_id", "path", "content").filter(F.regexp_extract("path", r"\.(\w+)$", 1).isin(*EXTENSIONS) & _hinted(F.col("content")))
+    # dealt by file, so that repeated files meet without another move of the texts
+    rows = rows.repartition(*FILE).distinct()
     rows = rows.select("target_id", "path", F.col("path").endswith(".py").alias("python"), tagged_code(F.col("content"), F.col("path")).alias("text"))
     every = {True: PY_FACTS, False: JS_FACTS}
-    cut = lambda python: F.split(F.regexp_replace("text", java_pattern("|".join(f"(?:{p})" for p in every[python].values())), F.lit(MARK + "$0")), MARK)
+    cut = lambda python: F.split(F.regexp_replace("text", f"{MAY_BEGIN}(?:{java_pattern('|'.join(f'(?:{p})' for p in every[python].values()))})", F.lit(MARK + "$0")), MARK)
     rows = rows.select("target_id", "path", "python", F.posexplode(F.when(F.col("python"), cut(True)).otherwise(cut(False))).alias("seq", "piece"))
     of_file = Window.partitionBy("target_id", "path").orderBy("seq")
     earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
     size, tail = F.length("piece"), F.length(F.substring_index("piece", "\n", -1))
-    rows = rows.withColumns({"start": F.coalesce(F.sum(size).over(earlier), F.lit(0)), "before": F.lag("piece").over(of_file), "next": F.coalesce(F.lead("piece").over(of_file), F.lit(""))})
+    rows = rows.withColumns({"start": F.coalesce(F.sum(size).over(earlier), F.lit(0)), "last": F.lag(F.regexp_extract("piece", r"(\w+|\S)\s*$", 1)).over(of_file), "next": F.coalesce(F.lead("piece").over(of_file), F.lit(""))})
     rows = rows.withColumn("line", 1 + F.coalesce(F.sum(size - F.length(F.replace("piece", F.lit("\n"), F.lit("")))).over(earlier), F.lit(0)))
     ends = F.when(F.contains("piece", F.lit("\n")), F.col("start") + size - tail)  # where the last line of the piece begins
     rows = rows.withColumn("column", 1 + F.col("start") - F.coalesce(F.max(ends).over(earlier), F.lit(0)))
@@ -132,7 +148,7 @@ def facts(files: DataFrame) -> DataFrame:
         return out
 
     rows = rows.filter("seq > 0").withColumn("kind", F.when(F.col("python"), kind(True)).otherwise(kind(False)))
-    return rows.select("target_id", "path", "python", "seq", "kind", "piece", "before", "next", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"))
+    return rows.select("target_id", "path", "python", "seq", "kind", "piece", "last", "next", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"))
 
 
 def _without_lookbehind(pattern: str) -> str:
@@ -141,9 +157,6 @@ def _without_lookbehind(pattern: str) -> str:
     return pattern
 
 
-FILE = ["target_id", "path"]
-
-
 def downloads(found: DataFrame) -> DataFrame:
     """(target_id, path, stem): the code files that a file's own code downloads or writes from the network."""
     of_file = Window.partitionBy(*FILE)
@@ -177,7 +190,7 @@ def reaching(found: DataFrame) -> DataFrame:
     call = java_pattern(r"^(?:import|require)\s*\(\s*")
     rows = found.filter("NOT python AND kind IN ('assign', 'load')")
     value = F.regexp_replace(F.concat("piece", "next"), f"(?:{assign}|{call})", "")
-    last = F.regexp_extract("before", r"(\w+|\S)\s*$", 1)
+    last = F.col("last")
     sets = (last == "") | ~F.regexp_like(last, F.lit(r"^(?:[A-Za-z0-9_$]+|['\"`.])$")) | F.regexp_like(last, F.lit(f"^(?:{ASSIGNING_WORDS})$"))
     rows = rows.filter((F.col("kind") == "load") | sets)
     rows = rows.withColumns({
